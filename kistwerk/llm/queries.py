@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encoded_documents
+from .classifier import judged_documents
 from .common import table
+from .fingerprint import edited_fingerprints
+from .hmm import scored_documents
+from .packing import packed_documents
 from .preference import preference_documents
 from .sharding import sharded_documents
 
@@ -17,9 +22,39 @@ def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_documents(table(spark, sf_dir, "conversations"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    return encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """byte_bpe_50k.tiktoken is the vocabulary of byte_bpe_50k.json as ranks; the ids are those of tokenizers (tested)."""
+    import public_tokenizers
+
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+
+
+def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_preference_formatting": op3_preference_formatting,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_hmm_scoring": op8_hmm_scoring,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 OP3_SQL = """
