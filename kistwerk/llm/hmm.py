@@ -98,7 +98,7 @@ def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray) -> tup
     begins anew from the start probabilities.
     """
     states = len(model.start)
-    emit = np.ascontiguousarray(model.emit.T.astype(np.float32))
+    emit = np.ascontiguousarray(np.maximum(model.emit.T, 1e-30).astype(np.float32))  # classes that never come only pad
     step, start = model.step.astype(np.float32), model.start.astype(np.float32)
     n = -(-len(classes) // SPAN)
     pad = n * SPAN - len(classes)

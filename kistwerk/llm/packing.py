@@ -3,13 +3,15 @@
 A piece of length l goes to the place (an open bin with gap g >= l, or a new bin) for which the sum over
 gaps of the squared number of open bins with that gap becomes smallest. The rule looks at sizes alone,
 so it runs on groups of (document, length) rows, each group in one task: texts and ids never travel. Groups
-have a bounded expected size, and after the first round the worst-filled bins of all groups are opened
-again and packed together, so that the number of groups hardly shows in the number of sequences.
+have a bounded expected size; a group places its pieces by falling length. Then the worst-filled bins of all
+groups are opened again and their pieces placed anew, so that the number of groups hardly shows in the number
+of sequences; there each group keeps the better of the sum-of-squares rule and plain best fit.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import math
 import zlib
 from collections.abc import Iterator
@@ -55,6 +57,23 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, at
 
 
+def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """As sum_of_squares, but a piece goes to the open bin with the smallest gap that holds it."""
+    gaps: list[tuple[int, int]] = []
+    where, at, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
+    for i, l in enumerate(lengths.tolist()):
+        k = bisect.bisect_left(gaps, (l, -1))
+        if k == len(gaps):
+            gap, b = capacity, made
+            made += 1
+        else:
+            gap, b = gaps.pop(k)
+        where[i], at[i] = b, capacity - gap
+        if gap > l:
+            bisect.insort(gaps, (gap - l, b))
+    return where, at
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all are full but, where n isn't a multiple, the first."""
     head = n % capacity
@@ -109,13 +128,11 @@ def pack(pieces: DataFrame, capacity: int, rows_per_group: int = 20_000, reopen:
     whole = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     columns = f"{PIECES}, row long, sequence_id long, offset long, gap long"
 
-    def round_of(df: DataFrame, groups: int, first_id: int) -> DataFrame:
+    def round_of(df: DataFrame, groups: int, first_id: int, rules: tuple) -> DataFrame:
         def place(key: tuple, rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by("row")
+            rows = rows.sort_by([("length", "descending"), ("row", "ascending")])
             length = rows.column("length").to_numpy()
-            order = np.random.default_rng(len(length)).permutation(len(length))
-            where, at = np.empty_like(length), np.empty_like(length)
-            where[order], at[order] = sum_of_squares(length[order], capacity)
+            where, at = min((rule(length, capacity) for rule in rules), key=lambda found: found[0].max())
             used = np.bincount(where, weights=length).astype(np.int64)
             ids = where * groups + key[0].as_py() + first_id
             return rows.select([*names, "row"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(at)).append_column("gap", pa.array(capacity - used[where]))
@@ -124,10 +141,10 @@ def pack(pieces: DataFrame, capacity: int, rows_per_group: int = 20_000, reopen:
         return df.withColumn("g", group).repartition(groups, "g").groupBy("g").applyInArrow(place, columns)
 
     groups = max(1, math.ceil(n / rows_per_group))
-    first = written(round_of(rows.where(F.col("length") < capacity), groups, 0), "packed")
+    first = written(round_of(rows.where(F.col("length") < capacity), groups, 0, (sum_of_squares,)), "packed")
     kept = first.where(F.col("gap") < reopen)
     open_ = first.where(F.col("gap") >= reopen).select(*names, "row")
-    again = round_of(open_, max(1, math.ceil(open_.count() / rows_per_group)), 1 << 40)
+    again = round_of(open_, max(1, math.ceil(open_.count() / rows_per_group)), 1 << 40, (sum_of_squares, best_fit))
     final = [*names, "sequence_id", "offset"]
     return whole.select(final).unionByName(kept.select(final)).unionByName(again.select(final))
 
