@@ -203,6 +203,7 @@ def judged_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, all columns, whose score reaches the threshold."""
-    return score(documents, "text", trained(documents, labels), "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+def keep_good(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows, all columns, whose score reaches the threshold; the network learns from the labelled rows of ``learn_from``, else of ``documents``."""
+    net = trained(documents if learn_from is None else learn_from, labels)
+    return score(documents, "text", net, "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")

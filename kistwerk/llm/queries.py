@@ -9,15 +9,22 @@ from .classifier import judged_documents
 from .common import table
 from .fingerprint import edited_fingerprints
 from .hmm import scored_documents
+from .minhash import near_duplicates
 from .packing import packed_documents
 from .preference import preference_documents
 from .sharding import sharded_documents
+from .suffix import cut_documents
+from .vectors import near_vectors
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_documents(table(spark, sf_dir, "conversations"))
 
@@ -32,6 +39,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
     return encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 85).drop("rid")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """byte_bpe_50k.tiktoken is the vocabulary of byte_bpe_50k.json as ranks; the ids are those of tokenizers (tested)."""
     import public_tokenizers
@@ -43,17 +54,24 @@ def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_preference_formatting": op3_preference_formatting,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_hmm_scoring": op8_hmm_scoring,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_order_minhash": op10_order_minhash,
 }
 
