@@ -21,8 +21,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import pieces, text_slice, written
+from .common import pieces, text_slice, written_by
 
 SCHEMA = "kind int, block long, bucket int, ids array<long>, flags array<boolean>, sizes array<long>, payload binary"
 _ARROW = pa.schema(
@@ -67,7 +69,7 @@ def bucket_count(df: DataFrame) -> int:
     return min(8192, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def code_blocks(df: DataFrame, id_col: str, flag_col: str | None, text_col: str, split: Callable[[], Callable[[bytes], list]], buckets: int, block_bytes: int = 16 << 20) -> DataFrame:
+def code_blocks(df: DataFrame, id_col: str, flag_col: str | None, text_col: str, split: Callable[[], Callable[[bytes], list]], buckets: int, block_bytes: int = 24 << 20) -> DataFrame:
     """The written table. split() gives, in the task, the function from a text's bytes to its words (bytes or str).
 
     A null text has no words, a null flag counts as false. Counts in kind 0 are the occurrences in texts whose flag holds.
@@ -123,7 +125,7 @@ def code_blocks(df: DataFrame, id_col: str, flag_col: str | None, text_col: str,
             yield dictionary()
 
     flag = F.lit(False) if flag_col is None else F.col(flag_col)
-    return written(df.select(F.col(id_col).cast("long"), flag, text_col).mapInArrow(run, SCHEMA), "blocks")
+    return written_by(df.select(F.col(id_col).cast("long"), flag, text_col).mapInArrow(run, SCHEMA), "blocks", buckets, "block")
 
 
 def answered(blocks: DataFrame, buckets: int, answer: Callable[[Iterator[tuple[int, int, bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
@@ -138,25 +140,21 @@ def answered(blocks: DataFrame, buckets: int, answer: Callable[[Iterator[tuple[i
 
 
 def reassembled(blocks: DataFrame, answers: DataFrame, start: Callable[[], object], schema: str) -> DataFrame:
-    """Runs over each block: its answers first, then its texts.
+    """Runs over each block: its answers first, then its texts. The texts, written in buckets by block, don't move; the answers come to them.
 
-    start() gives, in the task, an object with take(payload), one answer of the block; texts(ids, flags, sizes,
-    codes), which gives a RecordBatch; and clear(), before the next block.
+    start() gives, in the task, an object with take(payload), one answer of the block, and texts(ids, flags, sizes, codes),
+    which gives a RecordBatch. A block is bounded by block_bytes and the longest text.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker, now = start(), None
-        for batch in batches:
-            for kind, block, ids, flags, sizes, payload in zip(*batch.columns, strict=True):
-                if block.as_py() != now:
-                    now = block.as_py()
-                    worker.clear()
-                if kind.as_py() == 0:
-                    worker.take(payload.as_py())
-                else:
-                    yield worker.texts(ids.as_py(), flags.as_py(), np.asarray(sizes.as_py(), np.int64), expand(payload.as_py(), "n")[0])
-
-    columns = ["kind", "block", "ids", "flags", "sizes", "payload"]
-    none = lambda kind: F.lit(None).cast(kind)
-    back = answers.select(F.lit(0).alias("kind"), "block", none("array<long>").alias("ids"), none("array<boolean>").alias("flags"), none("array<long>").alias("sizes"), "payload")
-    return blocks.where("kind = 1").select(*columns).unionByName(back).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        worker = start()
+        for payload in replies.column("payload"):
+            worker.take(payload.as_py())
+        parts = []
+        for ids, flags, sizes, payload in zip(*(texts.column(c) for c in ("ids", "flags", "sizes", "payload")), strict=True):
+            parts.append(worker.texts(ids.as_py(), flags.as_py(), np.asarray(sizes.as_py(), np.int64), expand(payload.as_py(), "n")[0]))
+        return pa.Table.from_batches(parts) if parts else empty.value
+
+    empty = blocks.sparkSession.sparkContext.broadcast(to_arrow_schema(T.StructType.fromDDL(schema)).empty_table())
+    texts = blocks.where("kind = 1").select("block", "ids", "flags", "sizes", "payload")
+    return texts.groupBy("block").cogroup(answers.select("block", "payload").groupBy("block")).applyInArrow(run, schema)

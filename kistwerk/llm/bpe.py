@@ -77,9 +77,6 @@ def encode(df: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: str
         def __init__(self):
             self.table = token_table(shared.value)
             self.shown = [str(i) for i in range(len(self.table))]
-            self.clear()
-
-        def clear(self):
             self.parts, self.ready = [], None
 
         def take(self, payload):

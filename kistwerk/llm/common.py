@@ -40,21 +40,34 @@ def _remove_scratch() -> None:
             return
 
 
+def _place(spark: SparkSession, tag: str) -> str:
+    base = shared_dir(spark)
+    if base not in _scratch:
+        if not _scratch:
+            atexit.register(_remove_scratch)
+        _scratch[base] = (spark, f"{base}/kistwerk-{uuid.uuid4().hex}")
+    return f"{_scratch[base][1]}/{tag}-{uuid.uuid4().hex[:8]}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, from a Parquet table in the shared folder.
 
     It cuts the lineage: a lost executor costs the tasks it ran, not what came before, and both
     readers of an intermediate see the same rows.
     """
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    if base not in _scratch:
-        if not _scratch:
-            atexit.register(_remove_scratch)
-        _scratch[base] = (spark, f"{base}/kistwerk-{uuid.uuid4().hex}")
-    path = f"{_scratch[base][1]}/{tag}-{uuid.uuid4().hex[:8]}"
+    path = _place(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_by(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
+    """As written, in buckets by the key: what later needs the rows of a key together reads them without an exchange.
+
+    The session's catalog knows the table by a name of its own; its files lie in the shared folder.
+    """
+    spark, name = df.sparkSession, f"kistwerk_{tag}_{uuid.uuid4().hex[:8]}"
+    df.write.option("compression", "zstd").option("path", _place(spark, tag)).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
 
 
 def row_key(*cols: str):

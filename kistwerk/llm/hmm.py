@@ -177,9 +177,6 @@ def score(df: DataFrame, id_col: str, learn_col: str, text_col: str, rounds: int
     class Texts:
         def __init__(self):
             self.mass, self.ends = table.value
-            self.clear()
-
-        def clear(self):
             self.parts, self.ready = [], False
 
         def take(self, payload):
