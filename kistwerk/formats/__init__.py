@@ -1 +1 @@
-"""formats of the engine."""
+"""Compound-document formats in plain Python: total functions over bytes, without Spark."""
