@@ -2,23 +2,24 @@
 
 A byte goes if a string of SPAN bytes that covers it also starts anywhere else. Plain prefix doubling ranks every byte
 position of the corpus in log2(SPAN) sorts; that is some 20 bytes a round for every byte of text. Here the
-positions that are ranked and sorted are anchors, chosen by their own next 16 bytes (one in about GAP bytes),
-so that equal strings have equal anchors at equal offsets, and every start s is looked at through the first anchor
-at or after it:
-
-  rank 1: the name of the HEAD bytes from the anchor. Every string of SPAN bytes whose first anchor this is
-          contains them, so where the name is unique no such string comes twice, and the position is done.
-  rank 2: the name of all bytes that the strings of this anchor cover (SPAN and the gap before it). Where that
-          comes twice, all of these strings do, and the position is done: past the threshold.
-  rank 3: what is left - anchors whose strings partly repeat, at the edges of repeated passages - goes down to byte
-          positions: their strings of SPAN bytes are named one by one, together with those of one
-          representative of every rank 2 name that shares a rank 1 name with them.
-
-Names are built by doubling (a name of 2h bytes from the names of its halves, as polynomials over 2^64 whose
-prefixes are summed once a text), so a text ranks its own positions in one pass; the corpus-wide sorts decide what
-is unique. Rows are range-partitioned by (rank 1, rank 2, place), so a name that a third of all texts
-share is cut over as many tasks as it needs; a task that cannot see a name's neighbours across its edge keeps the position
-for rank 3, which is exact.
+positions that are ranked and sorted are anchors, chosen by their own next LOCAL bytes, one in about GAP bytes (where
+none is near, one in FINE), so that equal strings have equal anchors at equal offsets; every start is looked at
+through the first anchor at or after it. Each round sorts (rank 1, rank 2, place) of what the last has left:
+
+  rank 1 names bytes that every string of the row contains; where that name is unique, none of them comes twice;
+  rank 2 names all bytes that the row's strings cover; where that name comes twice, all of them do;
+  what is neither goes on to longer ranks for fewer starts, together with one representative of every name of rank 2 that
+  comes twice under the same name of rank 1.
+
+  round 1: HEAD bytes from the anchor, and all strings of the anchor (up to SPAN - HEAD + 1 of them);
+  round 2: SPAN - STEP + 1 bytes, and the strings of STEP neighbouring starts, counted off from the anchor;
+  round 3: the strings of SPAN bytes themselves, past the threshold.
+
+Names are hashes of substrings, polynomials over 2^64 whose prefixes are summed once a text: the rank of 2h bytes
+follows from those of its halves without a sort, and the corpus-wide sorts only decide what is unique. Rows are
+range-partitioned, so a name that a third of all texts share is cut over as many tasks as it needs; a task that cannot
+see a name's neighbours across its edge keeps the position for the next round; the last is exact. Texts are
+written once in buckets by row key, and don't move after that.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, row_key, text_slice, written
+from .common import mix, pieces, row_key, text_slice, written, written_by
 from .textops import powers
 
-SPAN, GAP, HEAD, LOCAL = 400, 48, 64, 16
+SPAN, GAP, FINE, HEAD, LOCAL, STEP = 400, 48, 4, 64, 16, 16
 _rng = np.random.default_rng(9)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(2**62)) * 2 + 1
@@ -53,62 +54,104 @@ class Names:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _SALT)
 
 
-def positions(data: np.ndarray, off: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
-    """(text, rank 1, rank 2, lo, hi): starts lo to hi, both counted in the text, are seen through one anchor.
+def positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, rank 1, rank 2, lo, hi, at): starts lo to hi are seen through the anchor at ``at``, all counted in the text.
 
-    Starts that have no anchor within span - HEAD bytes have rank 1 and rank 2 of zero: they go down to bytes at once.
+    Starts without any anchor within SPAN - HEAD bytes have ranks of zero and no anchor (-1).
     """
-    n = len(data)
+    n, near = len(data), SPAN - HEAD
     names = Names(data)
-    if n >= LOCAL:
-        local = names.of(np.arange(n - LOCAL + 1), np.arange(LOCAL, n + 1))
-        anchor = np.flatnonzero(local % np.uint64(GAP) == 0)
-    else:
-        anchor = np.zeros(0, np.int64)
+    local = names.of(np.arange(n - LOCAL + 1), np.arange(LOCAL, n + 1)) if n >= LOCAL else np.zeros(0, np.uint64)
     begin, end = off[:-1], off[1:]
-    text = np.searchsorted(off, anchor, "right") - 1
-    whole = anchor + LOCAL <= end[text] if len(anchor) else np.zeros(0, bool)  # the 16 bytes lie in the text
-    anchor, text = anchor[whole], text[whole]
-    first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
-    before = np.where(first, begin[text], np.concatenate([[0], anchor[:-1] + 1])) if len(text) else anchor
-    last = end[text] - span  # the last start in the text
-    lo, hi = np.maximum(before, anchor - (span - HEAD)), np.minimum(anchor, last)
-    ok = lo <= hi
-    one = names.of(anchor[ok], anchor[ok] + HEAD)
-    two = names.of(lo[ok], hi[ok] + span)
-    # starts before lo, and after a text's last anchor, have no anchor near enough
-    gaps = [(text, before, np.minimum(lo - 1, last))]
+
+    def inside(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors whose LOCAL bytes lie in one text, and that text."""
+        text = np.searchsorted(off, anchor, "right") - 1
+        ok = anchor + LOCAL <= end[text] if len(anchor) else np.zeros(0, bool)
+        return anchor[ok], text[ok]
+
+    anchor, text = inside(np.flatnonzero(local % np.uint64(GAP) == 0))
+    first = np.ones(len(text), bool)
+    first[1:] = text[1:] != text[:-1]
+    before = np.where(first, begin[text], np.concatenate([[0], anchor[:-1] + 1])[: len(anchor)])
+    last = end[text] - SPAN
+    lo, hi = np.maximum(before, anchor - near), np.minimum(anchor, last)
+    rows = [(text, lo, hi, anchor)]
+    # starts before lo, and those after a text's last anchor, have no anchor near enough
     tail = begin.copy()
-    if len(text):
-        final = np.concatenate([text[1:] != text[:-1], [True]])
-        tail[text[final]] = anchor[final] + 1
-    gaps.append((np.arange(len(begin)), tail, end - span))
-    t, a, b = (np.concatenate([g[k] for g in gaps]) for k in range(3))
-    bare = a <= b
-    t, a, b = t[bare], a[bare], b[bare]
-    zero = np.zeros(len(t), np.uint64)
-    who = np.concatenate([text[ok], t])
-    return who, np.concatenate([one, zero]), np.concatenate([two, zero]), np.concatenate([lo[ok], a]) - begin[who], np.concatenate([hi[ok], b]) - begin[who]
+    final = np.ones(len(text), bool)
+    final[:-1] = text[1:] != text[:-1]
+    tail[text[final]] = anchor[final] + 1
+    bare = [np.concatenate(x) for x in zip((text, before, np.minimum(lo - 1, last)), (np.arange(len(begin)), tail, end - SPAN), strict=True)]
+    bare = [x[bare[1] <= bare[2]] for x in bare]
+    fine, _ = inside(np.flatnonzero(local % np.uint64(FINE) == 1)) if len(bare[0]) else (np.zeros(0, np.int64), None)
+    left = []
+    for t, a, b in zip(*(x.tolist() for x in bare), strict=True):
+        y = fine[np.searchsorted(fine, a) : np.searchsorted(fine, min(b + near, end[t] - LOCAL), "right")]
+        low = np.maximum(np.concatenate([[a], y[:-1] + 1])[: len(y)], y - near)
+        high = np.minimum(y, b)
+        rows.append((np.full(len(y), t), low, high, y))
+        # what lies between: before low, and after the last
+        floor = np.concatenate([[a], y[:-1] + 1, [y[-1] + 1 if len(y) else a]]) if len(y) else np.array([a])
+        ceil = np.minimum(np.concatenate([low - 1, [b]]), b)
+        for f, c in zip(floor[-len(ceil) :].tolist(), ceil.tolist(), strict=True):
+            if f <= c:
+                left.append((t, f, c))
+    who, lo, hi, at = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(4))
+    ok = lo <= hi
+    who, lo, hi, at = who[ok], lo[ok], hi[ok], at[ok]
+    one, two = names.of(at, at + HEAD), names.of(lo, hi + SPAN)
+    rest = np.array(left, np.int64).reshape(-1, 3)
+    zero = np.zeros(len(rest), np.uint64)
+    who, one, two = np.concatenate([who, rest[:, 0]]), np.concatenate([one, zero]), np.concatenate([two, zero])
+    base = begin[who]
+    return who, one, two, np.concatenate([lo, rest[:, 1]]) - base, np.concatenate([hi, rest[:, 2]]) - base, np.concatenate([at - base[: len(at)], np.full(len(rest), -1)])
+
+
+ROW = "rid long, one long, two long, lo int, hi int, at int, shown boolean"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _rows(rid, one, two, lo, hi, at, shown) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rid), _signed(one), _signed(two), *(pa.array(x, pa.int32()) for x in (lo, hi, at)), pa.array(shown)], ["rid", "one", "two", "lo", "hi", "at", "shown"])
+
+
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rids = batch.column(0).to_numpy()
         for i, j in pieces(batch, 1, 1 << 20):
-            who, one, two, lo, hi = positions(*text_slice(batch.column(1), i, j))
-            yield pa.RecordBatch.from_arrays([pa.array(rids[i:j][who]), _signed(one), _signed(two), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["rid", "one", "two", "lo", "hi"])
+            who, *cells = positions(*text_slice(batch.column(1), i, j))
+            yield _rows(rids[i:j][who], *cells, np.zeros(len(who), bool))
+
+
+def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Round 2's rows, from (rid, text, spans of lo, hi, at, what): STEP starts each, counted off from the anchor."""
+    for batch in batches:
+        for rid, text, spans in zip(*batch.columns, strict=True):
+            names = Names(np.frombuffer((text.as_py() or "").encode(), np.uint8))
+            lo, hi, at, what = (np.array([x[k] for x in spans.as_py()], np.int64) for k in ("lo", "hi", "at", "what"))
+            free = at < 0
+            count = np.where(free, 1, (at - lo) // STEP - (at - hi) // STEP + 1)
+            row = np.repeat(np.arange(len(lo)), count)
+            k = np.arange(len(row)) - (np.cumsum(count) - count)[row] + ((at - hi) // STEP)[row]
+            top = at[row] - STEP * k
+            low, high = np.maximum(lo[row], top - STEP + 1), np.minimum(hi[row], top)
+            low, high, top = np.where(free[row], lo[row], low), np.where(free[row], hi[row], high), np.where(free[row], 0, top)
+            zero = np.uint64(0)
+            one = np.where(free[row], zero, names.of(top, np.where(free[row], 0, top - STEP + 1 + SPAN)))
+            two = np.where(free[row], zero, names.of(low, np.where(free[row], low, high + SPAN)))
+            yield _rows(np.full(len(row), rid.as_py(), np.int64), one, two, low, high, at[row], what[row] == SHOW)
 
 
 DONE, ASK, SHOW = 0, 1, 2
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (one, two): what is left of each. DONE: all starts repeat; ASK: name them one by one;
-    SHOW: as ASK, for the sake of others, while its own starts are done.
+    """From rows sorted by (one, two): what is left of each. DONE: all starts repeat; ASK: they go on to the next round;
+    SHOW: they go on for the sake of others.
 
     Whether a row has neighbours is seen from the rows beside it; the carry holds what lies open at a batch's end.
     """
@@ -130,14 +173,20 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge_one |= run_one == 0
         if closed:
             edge_one |= run_one == run_one[-1]
+        shown = t.column("shown").to_numpy(zero_copy_only=False)
         what = np.full(n, -1)
-        what[(size_two > 1) & ~bare] = DONE
+        what[(size_two > 1) & ~bare & ~shown] = DONE
         lone = (size_two == 1) & ((size_one > 1) | edge_one)
         what[lone | bare] = ASK
-        show = (size_two > 1) & new_two & ((kinds > 1) | edge_one) & ~bare
-        keep = (what >= 0) & ~show
-        cols = [np.concatenate([t.column(c).to_numpy()[keep], t.column(c).to_numpy()[show]]) for c in ("rid", "lo", "hi")]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(np.concatenate([what[keep], np.full(int(show.sum()), SHOW)]), pa.int32())], ["rid", "lo", "hi", "what"])
+        what[(what == ASK) & shown] = SHOW
+        what[(size_two > 1) & new_two & ((kinds > 1) | edge_one) & ~bare] = SHOW
+        # a row that stands for others and repeats is done itself, if it is not one of those shown from an earlier round
+        keep = what >= 0
+        done = (what == SHOW) & (size_two > 1) & ~bare & ~shown
+        cells = [t.column(c).to_numpy() for c in ("rid", "lo", "hi", "at")]
+        cells = [np.concatenate([c[keep], c[done]]) for c in cells]
+        kinds = np.concatenate([what[keep], np.full(int(done.sum()), DONE)])
+        return pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in (*cells[1:], kinds))], ["rid", "lo", "hi", "at", "what"])
 
     for b in batches:
         t = pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])])
@@ -171,21 +220,31 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([_signed(names.of(s, s + SPAN)), pa.array(np.full(len(s), rid.as_py(), np.int64)), pa.array(s, pa.int32()), pa.array(show[k : k + (1 << 18)])], ["name", "rid", "start", "show"])
 
 
-def repeated_starts(df: DataFrame, text_col: str) -> DataFrame:
+LEFT = "rid long, lo int, hi int, at int, what int"
+
+
+def repeated_starts(texts: DataFrame) -> DataFrame:
     """(rid, lo, hi): in the text of that rid, every string of SPAN bytes that starts in lo to hi also starts elsewhere.
 
-    ``df`` has rid and the text; rows with equal rids are equal texts.
+    ``texts(rid, text)`` should be written in buckets by rid; rows with equal rids are equal texts.
     """
-    texts = df.select("rid", F.col(text_col).alias("text")).where(F.octet_length("text") >= SPAN)
-    found = written(texts.mapInArrow(_positions, "rid long, one long, two long, lo int, hi int"), "positions")
-    ranked = found.repartitionByRange("one", "two", "rid", "lo").sortWithinPartitions("one", "two", "rid", "lo")
-    left = written(ranked.mapInArrow(_rank, "rid long, lo int, hi int, what int"), "ranked")
-    done = left.where(F.col("what") != ASK).select("rid", "lo", "hi")  # what is shown is done as well
-    asked = left.where(F.col("what") != DONE).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "what")).alias("spans"))  # at most a text's length
-    strings = texts.join(asked, "rid").select("rid", "text", "spans")
-    named = written(strings.mapInArrow(_strings, "name long, rid long, start int, show boolean"), "strings")
+    texts = texts.where(F.octet_length("text") >= SPAN).select("rid", "text")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        order = ["one", "two", "rid", "lo"]
+        return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rank, LEFT), "ranked")
+
+    def asked(left: DataFrame) -> DataFrame:
+        """The texts that go on, with what is asked of them: at most a text's length."""
+        spans = left.where(F.col("what") != DONE).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "at", "what")).alias("spans"))
+        return texts.join(spans, "rid").select("rid", "text", "spans")
+
+    first = ranked(written(texts.mapInArrow(_positions, ROW), "positions"))
+    second = ranked(written(asked(first).mapInArrow(_narrower, ROW), "narrower"))
+    named = written(asked(second).mapInArrow(_strings, "name long, rid long, start int, show boolean"), "strings")
     twice = named.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
     single = named.where(~F.col("show")).join(twice, "name").select("rid", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    done = first.unionByName(second).where(F.col("what") == DONE).select("rid", "lo", "hi")
     return done.unionByName(single)
 
 
@@ -222,7 +281,8 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str, finish=_cut, sche
     other. A cut may fall inside a character, so the rest is bytes. Other columns are dropped.
     """
     keyed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rid", row_key("id", "text"))
-    starts = repeated_starts(keyed, "text").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))  # at most a text's length
+    keyed = written_by(keyed, "texts", max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rid")
+    starts = repeated_starts(keyed).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))  # at most a text's length
     joined = keyed.join(starts, "rid", "left").select("id", "text", "starts")
     kind = df.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(finish, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
