@@ -33,20 +33,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
 
 
+#: Links that one task contracts.
+CONTRACTED = 500_000
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links(u, v)``, longs; component is the smallest node of its component.
 
     Links may repeat, be given in either direction or loop (a node with loops only gets no row). Tasks first
-    replace their own links by stars; then each round takes every node's smallest neighbour (an aggregate with a map-side
-    part) and hangs its other neighbours below it, until nothing changes. A node with very many neighbours
-    is met by a join, which adaptive execution splits.
+    replace up to CONTRACTED links each by stars. If one task held them all, these are the components. Otherwise each round takes every node's smallest
+    neighbour (an aggregate with a map-side part) and hangs its other neighbours below it, until nothing changes.
+    A node with very many neighbours is met by a join, which adaptive execution splits. ``links`` should be written, it is read twice.
     """
-    edges = written(links.where("u <> v").select("u", "v").mapInArrow(_forest, "u long, v long").distinct(), "links")
+    proper = links.where("u <> v").select("u", "v")
+    chunks = max(1, -(-proper.count() // CONTRACTED))
+    edges = written(proper.repartition(chunks).mapInArrow(_forest, "u long, v long"), "links")
     before = None
-    while True:
+    while chunks > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # now u > v everywhere
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -1,19 +1,23 @@
 """MinHash near-dedup with tensored banding.
 
-Two collections of SIDE small keys, each of ROWS minhashes, make SIDE x SIDE table keys, one for each pair
-of a key of the first and one of the second: 2 x SIDE x ROWS minhashes instead of SIDE^2 x 2 x ROWS. Two texts of Jaccard
-similarity s share a table key with probability (1 - (1 - s^ROWS)^SIDE)^2, 0.999 at 0.85. A small key that only one
+Two collections of S small keys, each of ROWS minhashes, make S x S table keys, one for each pair
+of a key of the first and one of the second: 2 x S x ROWS minhashes instead of S^2 x 2 x ROWS. Two texts of Jaccard
+similarity s share a table key with probability (1 - (1 - s^ROWS)^S)^2; S is the least for which that is
+1 - MISS at the threshold. A small key that only one
 text has is dropped before the pairs are formed, since no table key with it can be shared.
 
-Equal sets are one node. In each table bucket all nodes are compared with one centre; nodes that then are
-in one component need no more comparisons. Further rounds take other centres for buckets that still hold several
-components; when a round finds no link, every remaining pair of nodes that share a bucket across components is
-compared. So no link between nodes that share a bucket is lost, and a large group of near
-copies costs a few comparisons a node. All comparisons use the full shingle sets.
+Equal sets are one node. In each table bucket all nodes are compared with one centre; nodes that then are in one component
+need no more comparisons. Buckets that still hold several components are joined to clusters, and a cluster's nodes dealt out in
+blocks of BLOCK; every pair of blocks that share such a bucket goes to one task, which compares the nodes of different
+components: first by the minhashes that agree, where the bound is five standard deviations below what a pair at the threshold has,
+then by their full sets. So no link between nodes that share a bucket is lost (but for one in a
+million by that bound), and a large group of near copies costs a few comparisons a node and never a row for each pair.
+All links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,44 +29,54 @@ from .common import mix, pieces, row_key, text_slice, written
 from .components import connected_components
 from .textops import shingle_sets
 
-SIDE, ROWS, WORDS = 10, 4, 5
-_HASHES = 2 * SIDE * ROWS
+ROWS, WORDS, MISS, MOST_SIDES = 5, 5, 0.002, 64
 _rng = np.random.default_rng(66)
-_MUL = (_rng.integers(0, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-_XOR = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64)[:, None]
+_MUL = (_rng.integers(0, 2**63, 2 * MOST_SIDES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_XOR = _rng.integers(0, 2**63, 2 * MOST_SIDES * ROWS, dtype=np.uint64)[:, None]
 _KEYS = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Centres are tried in at most this many rounds before the remaining pairs are compared one by one.
-CENTRE_ROUNDS = 6
+#: Nodes in a block, of which a task holds two.
+BLOCK = 256
 #: Members that one task compares with a centre in one go.
 GROUP = 64
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(_HASHES, np.iinfo(np.uint64).max, np.uint64)
+def sides(share: float) -> int:
+    """S for a threshold."""
+    each = 1 - math.sqrt(1 - MISS)
+    return min(MOST_SIDES, max(1, math.ceil(math.log(each) / math.log1p(-min(share, 0.999) ** ROWS))))
+
+
+def minhashes(hashes: np.ndarray, count: int) -> np.ndarray:
+    out = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1024):
-        np.minimum(out, ((hashes[None, i : i + 1024] ^ _XOR) * _MUL).min(axis=1), out=out)
+        np.minimum(out, ((hashes[None, i : i + 1024] ^ _XOR[:count]) * _MUL[:count]).min(axis=1), out=out)
     return out
 
 
-def small_keys(hashes: np.ndarray) -> np.ndarray:
-    """2 x SIDE keys: the first SIDE are one collection, the others the second."""
-    return mix((minhashes(hashes).reshape(2 * SIDE, ROWS) * _KEYS).sum(axis=1) + np.arange(2 * SIDE, dtype=np.uint64)).view(np.int64)
+def small_keys(m: np.ndarray) -> np.ndarray:
+    """2 S keys of 2 x S x ROWS minhashes: the first S are one collection, the others the second."""
+    return mix((m.reshape(-1, ROWS) * _KEYS).sum(axis=1) + np.arange(len(m) // ROWS, dtype=np.uint64)).view(np.int64)
 
 
 def set_key(hashes: np.ndarray) -> int:
     return int(mix(mix(hashes * _KEYS[0]).sum(keepdims=True) + np.array([len(hashes)], np.uint64) * _KEYS[1]).view(np.int64)[0])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size, node, keys = [], [], []
-        for i, j in pieces(batch, 2):
-            for s in shingle_sets(*text_slice(batch.column(2), i, j), WORDS):
-                size.append(len(s))
-                node.append(set_key(s) if len(s) else None)
-                keys.append(small_keys(s).tolist() if len(s) else None)
-        cols = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "rid", "n", "node", "keys"])
+def _sketches(keys_a_side: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, node, keys, lows = [], [], [], []
+            for i, j in pieces(batch, 2):
+                for s in shingle_sets(*text_slice(batch.column(2), i, j), WORDS):
+                    size.append(len(s))
+                    m = minhashes(s, 2 * keys_a_side * ROWS) if len(s) else None
+                    node.append(set_key(s) if len(s) else None)
+                    keys.append(small_keys(m).tolist() if len(s) else None)
+                    lows.append((mix(m) & np.uint64(0xFF)).astype(np.uint8).tobytes() if len(s) else None)
+            cols = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "rid", "n", "node", "keys", "lows"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,30 +85,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "hashes"])
 
 
-def _compare(share: int, of: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, base = None, None
-        for b in batches:
-            u, v, linked = [], [], []
-            for c, m, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                s = np.frombuffer(raw.as_py(), np.uint64)
-                if m is None:
-                    centre, base = c, s
-                    continue
-                assert c == centre
-                a, z = (s, base) if len(s) < len(base) else (base, s)
-                at = np.searchsorted(z, a)
-                both = int((z[np.minimum(at, len(z) - 1)] == a).sum())
-                u.append(c)
-                v.append(m)
-                linked.append(of * both >= share * (len(s) + len(base) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
-
-    return run
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    centre, base = None, None
+    for b in batches:
+        rows: tuple[list, ...] = ([], [], [], [])
+        for c, m, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            s = np.frombuffer(raw.as_py(), np.uint64)
+            if m is None:
+                centre, base = c, s
+                continue
+            assert c == centre
+            a, z = (s, base) if len(s) < len(base) else (base, s)
+            at = np.searchsorted(z, a)
+            both = int((z[np.minimum(at, len(z) - 1)] == a).sum())
+            for col, v in zip(rows, (c, m, both, len(s) + len(base) - both), strict=True):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["u", "v", "both", "either"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
-    """(u, v, linked) of each pair (u, v): whether of * intersection >= share * union of their sets. Written.
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, both, either) of each pair (u, v): the sizes of the intersection and the union of their sets. Written.
 
     A centre u with many members is dealt out in groups; its set travels once a group, a member's once a pair.
     """
@@ -107,17 +117,73 @@ def compared(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFram
     )
     sorted_ = rows.repartition("u", "g").sortWithinPartitions("u", "g", F.col("v").asc_nulls_first())
     # an empty group has its centre alone
-    return written(sorted_.select("u", "v", "hashes").mapInArrow(_compare(share, of), "u long, v long, linked boolean"), "compared")
+    return written(sorted_.select("u", "v", "hashes").mapInArrow(_compare, "u long, v long, both long, either long"), "compared")
+
+
+def _facing(share: int, of: int):
+    """Links between nodes of different components, from rows of a pair of blocks (cluster, lo, hi, block, node, component, lows, hashes)."""
+
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
+        lo, hi = group[0][1], group[0][2]
+        left = [r for r in group if r[3] == lo]
+        right = left if lo == hi else [r for r in group if r[3] == hi]
+        if not left or not right:
+            return []
+        sets = {r[4]: np.frombuffer(r[7], np.uint64) for r in group}
+        low = lambda rows: np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        a, b = low(left), low(right)
+        m, p = a.shape[1], share / of + (1 - share / of) / 256
+        least = p * m - 5 * math.sqrt(p * (1 - p) * m)
+        size_a, size_b = (np.array([len(sets[r[4]]) for r in rows]) for rows in (left, right))
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        out = []
+        for i, r in enumerate(left):
+            agree = (b == a[i]).sum(axis=1)
+            fits = (agree >= least) & (size_b * of >= size_a[i] * share) & (size_a[i] * of >= size_b * share)
+            for j in np.flatnonzero(fits).tolist():
+                x, y = root(r[5]), root(right[j][5])
+                if x == y or (lo == hi and j <= i):
+                    continue
+                s, z = sets[r[4]], sets[right[j][4]]
+                if len(s) > len(z):
+                    s, z = z, s
+                at = np.searchsorted(z, s)
+                both = int((z[np.minimum(at, len(z) - 1)] == s).sum())
+                if both * of >= share * (len(s) + len(z) - both):
+                    out.append((r[4], right[j][4]))
+                    up[x] = y
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    found += links(group)
+                    group = []
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+        found = links(group) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return run
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _buckets(nodes: DataFrame, s: int) -> DataFrame:
     """(bucket, node, n) of the table keys that at least two nodes share."""
     single = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
     shared = single.groupBy("place", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     live = single.join(shared, ["place", "key"]).groupBy("node").agg(
         F.first("n").alias("n"),
-        F.collect_list(F.when(F.col("place") < SIDE, F.struct("place", "key"))).alias("a"),  # at most SIDE each
-        F.collect_list(F.when(F.col("place") >= SIDE, F.struct("place", "key"))).alias("b"),
+        F.collect_list(F.when(F.col("place") < s, F.struct("place", "key"))).alias("a"),  # at most s each
+        F.collect_list(F.when(F.col("place") >= s, F.struct("place", "key"))).alias("b"),
     )
     tables = live.select("node", "n", F.explode("a").alias("x"), "b").select("node", "n", "x", F.explode("b").alias("y")).select(F.xxhash64("x.place", "x.key", "y.place", "y.key").alias("bucket"), "node", "n")
     full = tables.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").drop("c")
@@ -134,54 +200,37 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, share: int = 85,
     """
     keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = keyed.withColumn("rid", row_key("id", "text"))
-    rows = written(keyed.select("id", "rid", "text").mapInArrow(_sketches, "id long, rid long, n long, node long, keys array<long>"), "sketches")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = written(keyed.select("id", "rid", "text").mapInArrow(_sketches(sides(share / of)), "id long, rid long, n long, node long, keys array<long>, lows binary"), "sketches")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("lows").alias("lows"))
     nodes = written(nodes, "nodes")
-    buckets = _buckets(nodes)
+    buckets = _buckets(nodes, sides(share / of))
     near = (F.col("n") * of >= F.col("m") * share) & (F.col("m") * of >= F.col("n") * share)
 
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rid")
     texts = keyed.join(wanted, "rid").dropDuplicates(["rid"])
     sets = written(texts.select("node", "text").mapInArrow(_sets, "node long, hashes binary"), "sets")
 
-    def centred(rows: DataFrame, turn: int) -> DataFrame:
-        pick = F.xxhash64("node", F.lit(turn))
-        centre = rows.groupBy("bucket").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "bucket")), pick).alias("c"))
-        joined = rows.join(centre, "bucket").where("node <> c.node").withColumn("m", F.col("c.n")).where(near)
-        if "component" in rows.columns:
-            joined = joined.where("component <> c.component")
-        return joined.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
-
-    def components() -> tuple[DataFrame, DataFrame]:
-        """(node, component) by the links so far, and the bucket rows of buckets that hold several components."""
-        found = written(connected_components(known.where("linked").select("u", "v")), "components")
-        placed = buckets.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        return found, written(placed.join(split, "bucket"), "mixed")
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        """The pairs, once each, that have not been compared."""
-        ordered = lambda x: x.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        # (centre, member) decides how pairs are dealt out; a pair may come with either end as the centre
-        rest = pairs.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}).dropDuplicates(["lo", "hi"])
-        return written(rest.join(ordered(known).select(F.col("u").alias("lo"), F.col("v").alias("hi")), ["lo", "hi"], "left_anti").select("u", "v"), "pairs")
-
-    known = compared(centred(buckets, 0), sets, share, of)
-    found, mixed = components()
-    for turn in range(1, CENTRE_ROUNDS + 1):
-        pairs = fresh(centred(mixed, turn))
-        if pairs.isEmpty():
-            break
-        now = compared(pairs, sets, share, of)
-        known = known.unionByName(now)
-        if now.where("linked").isEmpty():
-            break
-        found, mixed = components()
-    other = mixed.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = fresh(mixed.join(other, "bucket").where("component < other").where(near).select(F.col("node").alias("u"), "v"))
-    if not rest.isEmpty():
-        known = known.unionByName(compared(rest, sets, share, of))
-        found, _ = components()
+    centre = buckets.groupBy("bucket").agg(F.min(F.struct("node", F.col("n").alias("m"))).alias("c"))
+    star = buckets.join(centre, "bucket").where("node <> c.node").select("bucket", F.col("c.node").alias("u"), F.col("node").alias("v"), "n", F.col("c.m").alias("m"))
+    links = compared(star.where(near).select("u", "v").distinct(), sets).where(F.col("both") * of >= F.col("either") * share).select("u", "v")
+    found = written(connected_components(links), "components")
+
+    placed = written(buckets.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre")).where("lo < hi").select("bucket", "centre")
+    mixed = written(placed.join(split, "bucket"), "mixed")
+    cluster = written(connected_components(written(mixed.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "clusters-links")), "clusters").withColumnRenamed("component", "cluster")
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = written(cluster.join(blocks, "cluster").select("cluster", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "dealt")
+    # many buckets hold nodes of the same blocks: each such set of blocks counts once
+    met = mixed.join(dealt, "node").groupBy("bucket", "cluster").agg(F.sort_array(F.collect_set("block")).alias("met")).select("cluster", "met").distinct()
+    facing = met.select("cluster", "met", F.explode("met").alias("lo")).select("cluster", "lo", F.explode("met").alias("hi")).where("lo <= hi").distinct()
+    ends = facing.select("cluster", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    full = dealt.join(mixed.select("node", "component").distinct(), "node").join(nodes.select("node", "lows"), "node").join(sets, "node")
+    tasks = ends.join(full, ["cluster", "block"]).select("cluster", "lo", "hi", "block", "node", "component", "lows", "hashes")
+    order = ["cluster", "lo", "hi"]
+    more = written(tasks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_facing(share, of), "u long, v long"), "more-links")
+    if not more.isEmpty():
+        found = written(connected_components(written(links.unionByName(more), "all-links")), "components")
     labelled = nodes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     named = labelled.join(smallest, "component").select("node", "component_id")
