@@ -22,7 +22,7 @@ from kistwerk.formats import properties as P
 from kistwerk.formats.container import Container, Limits, read_header
 from kistwerk.formats.extract import Options, extract
 from kistwerk.formats.paths import Problem
-from kistwerk.formats.writer import apply, build
+from kistwerk.formats.writer import Draft, apply, build, commit
 
 from . import schema as S
 
@@ -259,17 +259,45 @@ def cfb_build(streams: pd.Series) -> pd.Series:
     return streams.map(lambda x: None if x is None else one(x))
 
 
+def _applied(content: pd.Series, operations: pd.Series, in_place: bool) -> pd.DataFrame:
+    rows = []
+    for c, ops in zip(content, operations, strict=True):
+        c = _raw(c)
+        try:
+            done = apply(c, [] if ops is None else [{**o, "data": _raw(o["data"])} for o in ops], in_place)
+            rows.append((done.content, done.bytes_written, done.strategy, None))
+        except Problem as p:
+            rows.append((c, 0, None, p.row()))
+    return pd.DataFrame(rows, columns=["content", "bytes_written", "strategy_used", "error"])
+
+
 @F.pandas_udf(_OUTCOME)
 def cfb_apply(content: pd.Series, operations: pd.Series) -> pd.DataFrame:
     """One transaction on each container: all operations, or the first error and the content as it was."""
+    return _applied(content, operations, False)
+
+
+@F.pandas_udf(_OUTCOME)
+def cfb_apply_in_place(content: pd.Series, operations: pd.Series) -> pd.DataFrame:
+    """As cfb_apply; a change of one stream that keeps its size rewrites that stream's sectors alone."""
+    return _applied(content, operations, True)
+
+
+@F.pandas_udf(_OUTCOME)
+def cfb_put_summary(content: pd.Series, format_id: pd.Series, stream: pd.Series) -> pd.DataFrame:
+    """Puts the first set of a marshalled property stream in place of the container's set with that format id; other sets stay."""
     rows = []
-    for c, ops in zip(content, operations, strict=True):
+    for c, f, raw in zip(content, format_id, stream, strict=True):
         c = _raw(c)
         try:
-            done = apply(c, [] if ops is None else [{**o, "data": _raw(o["data"])} for o in ops])
+            draft = Draft(Container(c or b"", True))
+            draft.put_summary(f, P.parse(_raw(raw) or b"").sets[0])
+            done = commit(draft)
             rows.append((done.content, done.bytes_written, done.strategy, None))
         except Problem as p:
             rows.append((c, 0, None, p.row()))
+        except (P.PropertyError, IndexError) as e:
+            rows.append((c, 0, None, Problem(X.INVALID_ARGUMENT, f"property set: {e}", "property.put_named").row()))
     return pd.DataFrame(rows, columns=["content", "bytes_written", "strategy_used", "error"])
 
 

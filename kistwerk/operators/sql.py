@@ -34,8 +34,8 @@ def _columns(ddl: str) -> list[str]:
 
 
 def register(spark: SparkSession) -> None:
-    """cfb_build, cfb_apply, cfb_read_stream, cfb_header_error, ole_detect; tables cfb_nodes(content), cfb_extract(content, include_raw), ole_properties(content, path)."""
-    for f in (C.cfb_build, C.cfb_apply, C.cfb_read_stream, C.cfb_header_error, C.ole_detect):
+    """The scalar functions of ``containers`` under their names; tables cfb_nodes(content), cfb_extract(content, include_raw), ole_properties(content, path)."""
+    for f in (C.cfb_build, C.cfb_apply, C.cfb_apply_in_place, C.cfb_put_summary, C.cfb_read_stream, C.cfb_header_error, C.ole_detect, C.ole_properties_marshal, C.ole_native_build):
         spark.udf.register(f.__name__, f)
     artifact = "seq int, id string, kind string, status string, artifact_path string, media_type string, size bigint, sha256 string, raw binary, depth int, parent_id string, children int, note string"
     for name, cls, ddl in (("cfb_nodes", _Nodes, S.NODES.split(", ", 1)[1]), ("cfb_extract", _Artifacts, artifact), ("ole_properties", _Properties, S.PROPERTIES.split(", ", 1)[1])):

@@ -554,3 +554,107 @@ def nodes_by_lateral(spark, sf_dir):
 
     register(spark)
     return spark.sql("select n.type as type, count(*) as n from {c} c, lateral cfb_nodes(c.content) n group by n.type", c=doc_containers(spark, sf_dir))
+
+
+@query(
+    "cfb_apply_in_place",
+    f"""select source || '/' || doc_id || '.cfb' as path, 'incremental' as strategy_used, cast({_BYTES} as bigint) as bytes_written, {_CONTAINER.replace('from (', "as size, sha256(regexp_replace(text, '[a-z]', 'x', 'g')) as sha256 from (", 1)}""",
+)
+def cfb_apply_in_place(spark, sf_dir):
+    """A stream replaced by one of its size: its sectors alone are rewritten."""
+    data = F.encode("text", "UTF-8")
+    same_size = F.encode(F.regexp_replace("text", "[a-z]", "x"), "UTF-8")
+    ops = F.array(F.struct(F.lit("put").alias("op"), F.lit("/Docs/A").alias("path"), F.lit("").alias("new_path"), same_size.alias("data")))
+    docs = _table(spark, sf_dir, "documents").select(_doc_path().alias("path"), C.cfb_build(_one("/Docs/A", data)).alias("content"), ops.alias("ops"))
+    done = docs.select("path", C.cfb_apply_in_place("content", "ops").alias("r")).select("path", "r.*")
+    read = binary.sha256(C.cfb_read_stream("content", F.lit("/Docs/A")))
+    return done.select("path", "strategy_used", "bytes_written", F.octet_length("content").cast("bigint").alias("size"), read.alias("sha256"))
+
+
+@query(
+    "cfb_put_summary",
+    f"""select source || '/' || doc_id || '.cfb' as path, cast(set_index as integer) as set_index, format_id, cast(2 as bigint) as pid, s as value_string from (
+    select source, doc_id, 0 as set_index, '{X.SUMMARY}' as format_id, 'new ' || doc_id as s from documents)""",
+)
+def cfb_put_summary(spark, sf_dir):
+    """The summary's set replaced as a whole."""
+    docs = _table(spark, sf_dir, "documents")
+
+    def title(text: Column) -> Column:
+        prop = F.struct(F.lit(2).alias("pid"), F.lit(X.VT_LPWSTR).alias("vt"), text.alias("value_string"), F.lit(None).cast("bigint").alias("value_long"))
+        return C.ole_properties_marshal(F.lit(X.SUMMARY), F.array(prop))
+
+    made = docs.select(_doc_path().alias("path"), title(F.col("lang")).alias("old"), title(F.concat(F.lit("new "), F.col("doc_id").cast("string"))).alias("new"))
+    made = made.select("path", "new", C.cfb_build(_one(X.SUMMARY_STREAMS[0], F.col("old"))).alias("content"))
+    done = made.select("path", C.cfb_put_summary("content", F.lit(X.SUMMARY), "new").alias("r")).select("path", "r.content")
+    return C.summary_information(done).select("path", "set_index", "format_id", "pid", "value_string")
+
+
+@query("manifest_totals", f"select count(*) as files_written, cast(sum({_BYTES}) as bigint) as bytes_written, cast(0 as bigint) as skipped from documents")
+def manifest_totals(spark, sf_dir):
+    from kistwerk.sources.artifact_dir import manifest_totals, planned
+
+    return manifest_totals(planned(C.artifacts(C.extract_reports(doc_containers(spark, sf_dir), Options(include_raw=True)))))
+
+
+@query(
+    "embedded_kinds",
+    """select doc_id, case doc_id % 4 when 0 then 'package' when 1 then 'ole10native' when 2 then 'compobj' else 'unknown' end as kind,
+    cast(case doc_id % 4 when 0 then 0.9 when 1 then 0.5 when 2 then 0.85 else 0.0 end as double) as confidence, case when doc_id % 4 = 2 then 'Doc.' || lang else '' end as prog_id from documents""",
+)
+def embedded_kinds(spark, sf_dir):
+    """Detection by stream name, then by content."""
+    n = F.col("doc_id") % 4
+    path = F.when(n == 0, "/x/Package").when(n == 1, "/\x01Ole10Native").when(n == 2, "/\x01CompObj").otherwise("/Text")
+    strings = F.concat(F.lit("User\0CLIP\0Doc."), "lang", F.lit("\0"))
+    data = F.when(n == 2, F.concat(F.expr(f"X'{'00' * 28}'"), F.encode(strings, "UTF-8"))).otherwise(F.encode("lang", "UTF-8"))
+    found = _table(spark, sf_dir, "documents").select("doc_id", C.ole_detect(path, data).alias("d"))
+    return found.select("doc_id", "d.kind", "d.confidence", "d.prog_id")
+
+
+@query(
+    "filetimes",
+    """select event_id, cast((epoch_us(ts) + 11644473600000000) * 10 as varchar) as ticks, epoch_us(ts) as back from events""",
+)
+def filetimes(spark, sf_dir):
+    """Timestamps to ticks of 100 ns since 1601, and back."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    ticks = binary.timestamp_to_filetime(F.col("t"))
+    return e.select("event_id", ticks.cast("string").alias("ticks"), F.unix_micros(binary.filetime_to_timestamp(ticks)).alias("back"))
+
+
+@query(
+    "guids",
+    """select doc_id, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) as guid
+    from (select doc_id, md5(text) as h from documents)""",
+)
+def guids(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", binary.guid_text(F.unhex(F.md5("text"))).alias("guid"))
+
+
+@query("extract_images", f"select source || '/' || doc_id || '.cfb' as path, 'image' as kind, {_MEDIA} as media_type from documents")
+def extract_images(spark, sf_dir):
+    """Images are recognised by their first bytes inside containers."""
+    docs = _table(spark, sf_dir, "documents")
+    data = F.lit(None).cast("binary")
+    for k, m in enumerate([m for _, m in X.IMAGE_MAGIC] + [b"RIFF0000WEBP"]):
+        data = F.when(F.col("doc_id") % 8 == k, F.expr(f"X'{m.hex()}'")).otherwise(data)
+    made = docs.select(_doc_path().alias("path"), C.cfb_build(_one("/Image", F.concat(data, F.encode("text", "UTF-8")))).alias("content"))
+    return C.artifacts(C.extract_reports(made)).select("path", "kind", "media_type")
+
+
+@query(
+    "latest_report",
+    f"select generated_at, processed from ({_DAYS}) where generated_at < (select max(generated_at) from ({_DAYS})) order by generated_at desc limit 1",
+)
+def latest_report(spark, sf_dir):
+    return R.latest_report(_days(spark, sf_dir)[0]).select("generated_at", "processed")
+
+
+@query(
+    "trend_pruned",
+    f"select generated_at from ({_DAYS}) where generated_at < (select max(generated_at) from ({_DAYS})) order by generated_at limit greatest(0, (select count(*) - 1 - 5 from ({_DAYS})))",
+)
+def trend_pruned(spark, sf_dir):
+    """Reports that go when five are kept."""
+    return R.to_prune(_days(spark, sf_dir)[0], 5).select("generated_at")

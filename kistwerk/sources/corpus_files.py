@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LISTING = "path string, rel string, size bigint"
@@ -80,7 +81,7 @@ def with_content(listing: DataFrame) -> DataFrame:
                     data = None
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], [*row.schema.names, "content"])
 
-    return listing.mapInArrow(run, listing.schema.add("content", "binary"))
+    return listing.mapInArrow(run, T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:

@@ -181,3 +181,22 @@ def test_sql_functions(spark):
     got = spark.sql("select a.artifact_path, a.size, decode(cfb_read_stream(c.content, '/A'), 'UTF-8') as t from {c} c, lateral cfb_extract(c.content, false) a", c=made).first()
     assert tuple(got) == ("/A", 2, "hi")
     assert spark.sql("select ole_detect('/package', cast('' as binary)).kind as k").first().k == "package"
+
+
+def test_entry_without_the_optional_subpackage():
+    import subprocess
+    import sys
+
+    script = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("kistwerk.llm"):
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = set(e.queries())
+assert "extract_flat" in names and "op1_sharding" not in names and "pipeline" not in names
+assert set(e.oracle_sql()) <= names
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
