@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 _scratch: dict[str, tuple[SparkSession, str]] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows where the session has the default of 10,000: whole texts stand in them, in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +63,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     It cuts the lineage: a lost executor costs the tasks it ran, not what came before, and both
     readers of an intermediate see the same rows.
     """
+    small_batches(df.sparkSession)
     path = _place(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -66,6 +75,7 @@ def written_by(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
     The session's catalog knows the table by a name of its own; its files lie in the shared folder.
     """
     spark, name = df.sparkSession, f"kistwerk_{tag}_{uuid.uuid4().hex[:8]}"
+    small_batches(spark)
     df.write.option("compression", "zstd").option("path", _place(spark, tag)).bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)
 
@@ -75,7 +85,7 @@ def row_key(*cols: str):
     return F.xxhash64(*[c for name in cols for c in (F.col(name), F.col(name).isNull())])
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of the batch with about ``most`` bytes of the string column; a longer text is a range of its own."""
     off = offsets(batch.column(column))
     i, n = 0, len(off) - 1

@@ -122,7 +122,7 @@ def _rows(rid, one, two, lo, hi, at, shown) -> pa.RecordBatch:
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rids = batch.column(0).to_numpy()
-        for i, j in pieces(batch, 1, 1 << 20):
+        for i, j in pieces(batch, 1):
             who, *cells = positions(*text_slice(batch.column(1), i, j))
             yield _rows(rids[i:j][who], *cells, np.zeros(len(who), bool))
 
