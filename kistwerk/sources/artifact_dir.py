@@ -21,7 +21,7 @@ from kistwerk.formats import fixed as X
 from kistwerk.formats.paths import Problem
 from kistwerk.functions import names
 
-OP = "olextract.write_artifacts"
+OP = "write_artifacts"
 
 
 @dataclass
