@@ -41,9 +41,9 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unrepeated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes or more that stand anywhere else; documents of which nothing is left go."""
+    """Documents without the passages of over 50 words, or of 400 bytes or more, that stand anywhere else; documents of which nothing is left go."""
     key = F.struct("doc_id", "lang", "source", "n_chars").alias("key")
-    cut = without_repeats(docs.select(key, "text"), "key", "text")
+    cut = without_repeats(docs.select(key, "text"), "key", "text", words=51)
     cut = cut.mapInArrow(_decode, "doc_id long, lang string, source string, n_chars long, text string, cut boolean")
     chars = F.when(F.col("cut"), F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
     return cut.where("text <> '' or not cut").select("doc_id", "text", "lang", "source", chars)

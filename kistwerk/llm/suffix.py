@@ -20,6 +20,10 @@ follows from those of its halves without a sort, and the corpus-wide sorts only
 range-partitioned, so a name that a third of all texts share is cut over as many tasks as it needs; a task that cannot
 see a name's neighbours across its edge keeps the position for the next round; the last is exact. Texts are
 written once in buckets by row key, and don't move after that.
+
+With ``words`` given, a string of so many whole words goes as well if its bytes stand anywhere else as such a string. Those of
+SPAN bytes and more need no look of their own. The shorter ones share the rows of round 1 with the strings of SPAN bytes that have the same
+anchor, and what that round leaves goes straight to the last; those without an anchor near enough go there at once.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, pieces, row_key, text_slice, written, written_by
-from .textops import powers
+from .textops import powers, word_bounds, word_edges
 
 SPAN, GAP, FINE, HEAD, LOCAL, STEP = 400, 48, 4, 64, 16, 16
 _rng = np.random.default_rng(9)
@@ -54,10 +58,23 @@ class Names:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _SALT)
 
 
-def positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, rank 1, rank 2, lo, hi, at): starts lo to hi are seen through the anchor at ``at``, all counted in the text.
+def word_strings(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the strings of so many whole words of one text that are shorter than SPAN bytes."""
+    start, end = word_bounds(data, off)
+    start, end = start[: max(0, len(start) - words + 1)], end[words - 1 :]
+    ok = (end - start < SPAN) & (np.searchsorted(off, start, "right") == np.searchsorted(off, end, "left"))
+    return start[ok], end[ok]
+
+
+BYTES, WHOLE, BOTH = 0, 1, 2
+
 
-    Starts without any anchor within SPAN - HEAD bytes have ranks of zero and no anchor (-1).
+def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tuple[np.ndarray, ...]:
+    """(text, rank 1, rank 2, lo, hi, at, over, kind): starts lo to hi are seen through the anchor at ``at``, all counted in the text;
+    the last of their strings to end does so at hi + over.
+
+    Starts without any anchor within SPAN - HEAD bytes have ranks of zero and no anchor (-1). kind tells whether the row
+    stands for strings of SPAN bytes, of whole words, or both.
     """
     n, near = len(data), SPAN - HEAD
     names = Names(data)
@@ -76,7 +93,27 @@ def positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     before = np.where(first, begin[text], np.concatenate([[0], anchor[:-1] + 1])[: len(anchor)])
     last = end[text] - SPAN
     lo, hi = np.maximum(before, anchor - near), np.minimum(anchor, last)
-    rows = [(text, lo, hi, anchor)]
+    ends, kind = hi + SPAN, np.full(len(text), BYTES)
+    free = []  # strings of whole words without an anchor
+    low, high = lo, hi
+    if words:
+        start, stop = word_strings(data, off, words)
+        k = np.searchsorted(anchor, start)
+        seen = k < len(anchor)
+        seen[seen] = anchor[k[seen]] + HEAD <= stop[seen]
+        owner = np.searchsorted(off, start, "right") - 1
+        free = [owner[~seen], start[~seen], stop[~seen]]
+        k, start, stop = k[seen], start[seen], stop[seen]
+        # starts and ends rise together, so the first and the last of an anchor's strings are enough
+        top = np.flatnonzero(np.diff(k, prepend=-1)), np.flatnonzero(np.diff(k, append=len(anchor)))
+        rows_of = k[top[0]]
+        kind[rows_of] = np.where(lo[rows_of] <= hi[rows_of], BOTH, WHOLE)
+        mixed = kind[rows_of] == BOTH
+        low, high = lo.copy(), hi.copy()
+        low[rows_of] = np.where(mixed, np.minimum(lo[rows_of], start[top[0]]), start[top[0]])
+        high[rows_of] = np.where(mixed, np.maximum(hi[rows_of], start[top[1]]), start[top[1]])
+        ends[rows_of] = np.where(mixed, np.maximum(ends[rows_of], stop[top[1]]), stop[top[1]])
+    rows = [(text, low, high, anchor, ends, kind)]
     # starts before lo, and those after a text's last anchor, have no anchor near enough
     tail = begin.copy()
     final = np.ones(len(text), bool)
@@ -90,49 +127,60 @@ def positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         y = fine[np.searchsorted(fine, a) : np.searchsorted(fine, min(b + near, end[t] - LOCAL), "right")]
         low = np.maximum(np.concatenate([[a], y[:-1] + 1])[: len(y)], y - near)
         high = np.minimum(y, b)
-        rows.append((np.full(len(y), t), low, high, y))
+        rows.append((np.full(len(y), t), low, high, y, high + SPAN, np.full(len(y), BYTES)))
         # what lies between: before low, and after the last
         floor = np.concatenate([[a], y[:-1] + 1, [y[-1] + 1 if len(y) else a]]) if len(y) else np.array([a])
         ceil = np.minimum(np.concatenate([low - 1, [b]]), b)
         for f, c in zip(floor[-len(ceil) :].tolist(), ceil.tolist(), strict=True):
             if f <= c:
                 left.append((t, f, c))
-    who, lo, hi, at = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(4))
+    who, lo, hi, at, ends, kind = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(6))
     ok = lo <= hi
-    who, lo, hi, at = who[ok], lo[ok], hi[ok], at[ok]
-    one, two = names.of(at, at + HEAD), names.of(lo, hi + SPAN)
-    rest = np.array(left, np.int64).reshape(-1, 3)
+    who, lo, hi, at, ends, kind = who[ok], lo[ok], hi[ok], at[ok], ends[ok], kind[ok]
+    one, two = names.of(at, at + HEAD), names.of(lo, ends)
+    if words:  # equal bytes hold the same words only where both their ends are ends of words, or both aren't
+        before, after = word_edges(data, off)
+        two = np.where(kind == BYTES, two, mix(two + before[lo] * np.uint64(2) + after[ends - 1] + np.uint64(1)))
+    rest = np.array([(*x, SPAN, BYTES) for x in left], np.int64).reshape(-1, 5)
+    if words and len(free[0]):
+        more = np.stack([free[0], free[1], free[1], free[2] - free[1], np.full(len(free[0]), WHOLE)], axis=1)
+        rest = np.concatenate([rest, more])
     zero = np.zeros(len(rest), np.uint64)
     who, one, two = np.concatenate([who, rest[:, 0]]), np.concatenate([one, zero]), np.concatenate([two, zero])
     base = begin[who]
-    return who, one, two, np.concatenate([lo, rest[:, 1]]) - base, np.concatenate([hi, rest[:, 2]]) - base, np.concatenate([at - base[: len(at)], np.full(len(rest), -1)])
+    lo, hi, over = np.concatenate([lo, rest[:, 1]]) - base, np.concatenate([hi, rest[:, 2]]) - base, np.concatenate([ends - hi, rest[:, 3]])
+    return who, one, two, lo, hi, np.concatenate([at - base[: len(at)], np.full(len(rest), -1)]), over, np.concatenate([kind, rest[:, 4]])
 
 
-ROW = "rid long, one long, two long, lo int, hi int, at int, shown boolean"
+ROW = "rid long, one long, two long, lo int, hi int, at int, over int, kind int, shown boolean"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _rows(rid, one, two, lo, hi, at, shown) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rid), _signed(one), _signed(two), *(pa.array(x, pa.int32()) for x in (lo, hi, at)), pa.array(shown)], ["rid", "one", "two", "lo", "hi", "at", "shown"])
+def _rows(rid, one, two, lo, hi, at, over, kind, shown) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rid), _signed(one), _signed(two), *(pa.array(x, pa.int32()) for x in (lo, hi, at, over, kind)), pa.array(shown)], ["rid", "one", "two", "lo", "hi", "at", "over", "kind", "shown"])
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rids = batch.column(0).to_numpy()
-        for i, j in pieces(batch, 1):
-            who, *cells = positions(*text_slice(batch.column(1), i, j))
-            yield _rows(rids[i:j][who], *cells, np.zeros(len(who), bool))
+def _positions(words: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids = batch.column(0).to_numpy()
+            for i, j in pieces(batch, 1):
+                who, *cells = positions(*text_slice(batch.column(1), i, j), words)
+                yield _rows(rids[i:j][who], *cells, np.zeros(len(who), bool))
+
+    return run
 
 
 def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Round 2's rows, from (rid, text, spans of lo, hi, at, what): STEP starts each, counted off from the anchor."""
+    """Round 2's rows for strings of SPAN bytes, from (rid, text, spans of lo, hi, at, what): STEP starts each, counted off from the anchor."""
     for batch in batches:
         for rid, text, spans in zip(*batch.columns, strict=True):
             names = Names(np.frombuffer((text.as_py() or "").encode(), np.uint8))
             lo, hi, at, what = (np.array([x[k] for x in spans.as_py()], np.int64) for k in ("lo", "hi", "at", "what"))
+            hi = np.minimum(hi, len(names.sums) - 1 - SPAN)  # strings of whole words start later too
             free = at < 0
             count = np.where(free, 1, (at - lo) // STEP - (at - hi) // STEP + 1)
             row = np.repeat(np.arange(len(lo)), count)
@@ -143,7 +191,7 @@ def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             zero = np.uint64(0)
             one = np.where(free[row], zero, names.of(top, np.where(free[row], 0, top - STEP + 1 + SPAN)))
             two = np.where(free[row], zero, names.of(low, np.where(free[row], low, high + SPAN)))
-            yield _rows(np.full(len(row), rid.as_py(), np.int64), one, two, low, high, at[row], what[row] == SHOW)
+            yield _rows(np.full(len(row), rid.as_py(), np.int64), one, two, low, high, at[row], np.full(len(row), SPAN), np.full(len(row), BYTES), what[row] == SHOW)
 
 
 DONE, ASK, SHOW = 0, 1, 2
@@ -183,10 +231,10 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a row that stands for others and repeats is done itself, if it is not one of those shown from an earlier round
         keep = what >= 0
         done = (what == SHOW) & (size_two > 1) & ~bare & ~shown
-        cells = [t.column(c).to_numpy() for c in ("rid", "lo", "hi", "at")]
+        cells = [t.column(c).to_numpy() for c in ("rid", "lo", "hi", "at", "over", "kind")]
         cells = [np.concatenate([c[keep], c[done]]) for c in cells]
         kinds = np.concatenate([what[keep], np.full(int(done.sum()), DONE)])
-        return pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in (*cells[1:], kinds))], ["rid", "lo", "hi", "at", "what"])
+        return pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in (*cells[1:], kinds))], ["rid", "lo", "hi", "at", "over", "kind", "what"])
 
     for b in batches:
         t = pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])])
@@ -207,7 +255,7 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, rid, start, show) of single starts, from (rid, text, spans of start, end, show)."""
+    """(name, rid, start, size, show) of single strings of SPAN bytes, from (rid, text, spans of lo, hi, what)."""
     for batch in batches:
         for rid, text, spans in zip(*batch.columns, strict=True):
             data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
@@ -217,34 +265,65 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             show = np.concatenate([np.full(x["hi"] - x["lo"] + 1, x["what"] == SHOW) for x in parts])
             for k in range(0, len(start), 1 << 18):
                 s = start[k : k + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([_signed(names.of(s, s + SPAN)), pa.array(np.full(len(s), rid.as_py(), np.int64)), pa.array(s, pa.int32()), pa.array(show[k : k + (1 << 18)])], ["name", "rid", "start", "show"])
+                yield _named(names.of(s, s + SPAN), rid.as_py(), s, np.full(len(s), SPAN), show[k : k + (1 << 18)])
+
+
+def _word_strings(words: int):
+    """As _strings for strings of whole words; their names are other than those of equal strings of SPAN bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, text, spans in zip(*batch.columns, strict=True):
+                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                start, end = word_strings(data, np.array([0, len(data)]), words)
+                parts = spans.as_py()
+                lo, hi, at, what = (np.array([x[k] for x in parts], np.int64) for k in ("lo", "hi", "at", "what"))
+                first, last = np.searchsorted(start, lo), np.searchsorted(start, hi, "right")
+                row = np.repeat(np.arange(len(lo)), last - first)
+                k = np.arange(len(row)) - (np.cumsum(last - first) - (last - first))[row] + first[row]
+                mine = (at[row] < 0) | (end[k] >= at[row] + HEAD)  # others have no anchor, and a row of their own
+                k, row = k[mine], row[mine]
+                name = mix(Names(data).of(start[k], end[k]) + _SALT)
+                yield _named(name, rid.as_py(), start[k], end[k] - start[k], what[row] == SHOW)
+
+    return run
+
+
+def _named(name, rid, start, size, show) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_signed(name), pa.array(np.full(len(start), rid, np.int64)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(show)], ["name", "rid", "start", "size", "show"])
 
 
-LEFT = "rid long, lo int, hi int, at int, what int"
+LEFT = "rid long, lo int, hi int, at int, over int, kind int, what int"
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
-    """(rid, lo, hi): in the text of that rid, every string of SPAN bytes that starts in lo to hi also starts elsewhere.
+def repeated_starts(texts: DataFrame, words: int | None = None) -> DataFrame:
+    """(rid, lo, end): in the text of that rid, strings that also stand elsewhere cover the bytes from lo to end; strings of SPAN bytes and,
+    if ``words`` is given, of so many whole words.
 
     ``texts(rid, text)`` should be written in buckets by rid; rows with equal rids are equal texts.
     """
-    texts = texts.where(F.octet_length("text") >= SPAN).select("rid", "text")
+    texts = texts.where(F.octet_length("text") >= (min(SPAN, 2 * words - 1) if words else SPAN)).select("rid", "text")
 
     def ranked(rows: DataFrame) -> DataFrame:
         order = ["one", "two", "rid", "lo"]
         return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rank, LEFT), "ranked")
 
-    def asked(left: DataFrame) -> DataFrame:
+    def asked(left: DataFrame, other: int) -> DataFrame:
         """The texts that go on, with what is asked of them: at most a text's length."""
-        spans = left.where(F.col("what") != DONE).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "at", "what")).alias("spans"))
+        rows = left.where((F.col("what") != DONE) & (F.col("kind") != other))
+        spans = rows.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "at", "what")).alias("spans"))
         return texts.join(spans, "rid").select("rid", "text", "spans")
 
-    first = ranked(written(texts.mapInArrow(_positions, ROW), "positions"))
-    second = ranked(written(asked(first).mapInArrow(_narrower, ROW), "narrower"))
-    named = written(asked(second).mapInArrow(_strings, "name long, rid long, start int, show boolean"), "strings")
+    first = ranked(written(texts.mapInArrow(_positions(words), ROW), "positions"))
+    second = ranked(written(asked(first, WHOLE).mapInArrow(_narrower, ROW), "narrower"))
+    columns = "name long, rid long, start int, size int, show boolean"
+    named = asked(second, WHOLE).mapInArrow(_strings, columns)
+    if words:
+        named = named.unionByName(asked(first, BYTES).mapInArrow(_word_strings(words), columns))
+    named = written(named, "strings")
     twice = named.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    single = named.where(~F.col("show")).join(twice, "name").select("rid", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    done = first.unionByName(second).where(F.col("what") == DONE).select("rid", "lo", "hi")
+    single = named.where(~F.col("show")).join(twice, "name").select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"))
+    done = first.unionByName(second).where(F.col("what") == DONE).select("rid", "lo", (F.col("hi") + F.col("over")).alias("end"))
     return done.unionByName(single)
 
 
@@ -256,9 +335,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text, starts in zip(*batch.columns, strict=True):
             raw, runs, parts, at = (text.as_py() or "").encode(), [], [], 0
             if starts.is_valid:
-                lo, hi = (np.asarray(starts.values.field(k)) for k in ("lo", "hi"))
+                lo, end = (np.asarray(starts.values.field(k)) for k in ("lo", "end"))
                 order = np.argsort(lo, kind="stable")
-                for a, b in zip(lo[order].tolist(), (hi[order] + SPAN).tolist(), strict=True):
+                for a, b in zip(lo[order].tolist(), end[order].tolist(), strict=True):
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], b)
                     else:
@@ -274,15 +353,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
 
-def without_repeats(df: DataFrame, id_col: str, text_col: str, finish=_cut, schema: str = "n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary") -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept bytes) of each row: its text without the bytes that SPAN-byte strings starting elsewhere cover.
+def without_repeats(df: DataFrame, id_col: str, text_col: str, finish=_cut, schema: str = "n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary", words: int | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, spans, kept bytes) of each row: its text without the bytes that SPAN-byte strings starting elsewhere cover;
+    with ``words``, also without those that strings of so many whole words standing elsewhere cover.
 
     Matches never cross texts; strings are judged on the input. A null text is empty. Repeated rows are repeats of each
     other. A cut may fall inside a character, so the rest is bytes. Other columns are dropped.
     """
     keyed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rid", row_key("id", "text"))
     keyed = written_by(keyed, "texts", max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rid")
-    starts = repeated_starts(keyed).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))  # at most a text's length
+    starts = repeated_starts(keyed, words).groupBy("rid").agg(F.collect_list(F.struct("lo", "end")).alias("starts"))  # at most a text's length
     joined = keyed.join(starts, "rid", "left").select("id", "text", "starts")
     kind = df.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(finish, f"id {kind}, {schema}").withColumnRenamed("id", id_col)

@@ -33,20 +33,32 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def word_edges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the byte before, and that after, each byte belongs to a word of the same text."""
+    n = len(data)
+    word = ~_SPACE[data]
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    edges = off[1:-1]
+    before[edges[edges < n]] = False
+    after[edges[edges > 0] - 1] = False
+    return before, after
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words [^\\x20\\x09-\\x0D]+ of all texts start and end, in order."""
+    word = ~_SPACE[data]
+    before, after = word_edges(data, off)
+    return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, in order, and for each text where its words begin (one more than texts)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     low = _LOWER[data]
-    word = ~_SPACE[data]
-    before, after = np.empty(n, bool), np.empty(n, bool)
-    before[0], before[1:] = False, word[:-1]
-    after[-1], after[:-1] = False, word[1:]
-    edges = off[1:-1]
-    before[edges[edges < n]] = False
-    after[edges[edges > 0] - 1] = False
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    start, end = word_bounds(data, off)
     up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[low] * up, out=sums[1:])
