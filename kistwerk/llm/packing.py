@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: The added tokens of byte_bpe_50k.json, which its rank file lacks; tokenizers finds them in any text, also with add_special_tokens=False.
+ADDED = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 FREE = np.iinfo(np.int64).max
 
@@ -85,24 +87,24 @@ def tokenizer_ranks(path: str) -> bytes:
         return f.read()
 
 
-def token_encoder(ranks: bytes, pattern: str):
-    """An encoder of ordinary text by a rank file's bytes."""
+def token_encoder(ranks: bytes, pattern: str, added: dict[str, int] | None = None):
+    """An encoder by a rank file's bytes; ``added`` tokens are ids of their own wherever they stand in a text."""
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=added or {})
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(df: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: str, end_id: int, capacity: int, added: dict[str, int] | None = None) -> DataFrame:
     """PIECES of every text: its ids, then ``end_id``, cut to the capacity. A null text counts as empty."""
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))  # a vocabulary file, about 1 MB whatever the corpus
+    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern, added))  # a vocabulary file, about 1 MB whatever the corpus
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = token_encoder(*shared.value)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                ids = enc.encode_to_numpy(text.as_py() or "", allowed_special="all")
                 raw = np.append(ids, end_id).astype("<u4").tobytes()
                 for k, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
                     for col, v in zip(out, (key, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])), strict=True):
@@ -151,4 +153,4 @@ def pack(pieces: DataFrame, capacity: int, rows_per_group: int = 20_000, reopen:
 
 def packed_documents(documents: DataFrame, ranks_path: str, pattern: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """The contract's rows for ``documents(doc_id, text)``."""
-    return pack(token_pieces(documents, "doc_id", "text", tokenizer_ranks(ranks_path), pattern, end_id, capacity), capacity)
+    return pack(token_pieces(documents, "doc_id", "text", tokenizer_ranks(ranks_path), pattern, end_id, capacity, ADDED), capacity)

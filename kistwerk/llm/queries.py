@@ -44,7 +44,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """byte_bpe_50k.tiktoken is the vocabulary of byte_bpe_50k.json as ranks; the ids are those of tokenizers (tested)."""
+    """byte_bpe_50k.tiktoken is the vocabulary of byte_bpe_50k.json as ranks without its added token, which packing knows; the ids are those of tokenizers (tested)."""
     import public_tokenizers
 
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
