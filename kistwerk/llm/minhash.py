@@ -190,19 +190,18 @@ def _buckets(nodes: DataFrame, s: int) -> DataFrame:
     return written(tables.join(full, "bucket"), "buckets")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, share: int = 85, of: int = 100) -> DataFrame:
-    """(id, rid, n_shingles, component_id, kept) of each row; rid is row_key(id, text).
+def _first():
+    """The row with the smallest id, null last, and of those the smallest key."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
 
-    Rows are linked where of * intersection >= share * union of their sets of five-word shingles (words in lower case).
-    component_id is the smallest id reachable by links, kept tells whether that is the row's own. Null or wordless
-    texts have empty sets and are linked with nothing. A null id never is the smallest unless all are null, and such a
-    row is kept only where its component has null ids alone. Rows with equal ids and texts get equal results. Other columns are dropped.
-    """
+
+def _linked(df: DataFrame, id_col: str, text_col: str, share: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """(id, rid, n, node, ...) of each row, and (node, id, rid, component) of each distinct set, with the first of its rows."""
     keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = keyed.withColumn("rid", row_key("id", "text"))
     rows = written(keyed.select("id", "rid", "text").mapInArrow(_sketches(sides(share / of)), "id long, rid long, n long, node long, keys array<long>, lows binary"), "sketches")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("lows").alias("lows"))
-    nodes = written(nodes, "nodes")
+    nodes = rows.where("node is not null").groupBy("node").agg(_first().alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("lows").alias("lows"))
+    nodes = written(nodes.select("node", "first.id", "first.rid", "n", "keys", "lows"), "nodes")
     buckets = _buckets(nodes, sides(share / of))
     near = (F.col("n") * of >= F.col("m") * share) & (F.col("m") * of >= F.col("n") * share)
 
@@ -231,7 +230,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, share: int = 85,
     more = written(tasks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_facing(share, of), "u long, v long"), "more-links")
     if not more.isEmpty():
         found = written(connected_components(written(links.unionByName(more), "all-links")), "components")
-    labelled = nodes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    return rows, nodes.join(found, "node", "left").select("node", "id", "rid", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, share: int = 85, of: int = 100) -> DataFrame:
+    """(id, rid, n_shingles, component_id, kept) of each row; rid is row_key(id, text).
+
+    Rows are linked where of * intersection >= share * union of their sets of five-word shingles (words in lower case).
+    component_id is the smallest id reachable by links, kept tells whether that is the row's own. Null or wordless
+    texts have empty sets and are linked with nothing. A null id never is the smallest unless all are null, and such a
+    row is kept only where its component has null ids alone. Rows with equal ids and texts get equal results. Other columns are dropped.
+    """
+    rows, labelled = _linked(df, id_col, text_col, share, of)
     smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     named = labelled.join(smallest, "component").select("node", "component_id")
     result = rows.join(named, "node", "left")
@@ -240,7 +250,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, share: int = 85,
 
 
 def deduplicated(df: DataFrame, id_col: str, text_col: str, share: int = 80, of: int = 100) -> DataFrame:
-    """The rows, all columns, that near_duplicates keeps; of rows that repeat an id and text, one."""
-    kept = near_duplicates(df, id_col, text_col, share, of).where("kept").select(F.col("rid").alias("_mh_rid")).distinct()
+    """One row, with all columns, of each group that near_duplicates links: that with the smallest id, null last, whatever ids repeat or
+    are null. Texts without words are linked with nothing and stay, one of each id and text."""
+    rows, labelled = _linked(df, id_col, text_col, share, of)
+    chosen = labelled.groupBy("component").agg(_first().alias("first")).select("first.rid")
+    kept = chosen.unionByName(rows.where("node is null").select("rid")).select(F.col("rid").alias("_mh_rid")).distinct()
     keyed = df.withColumn("_mh_rid", row_key(id_col, text_col))
     return keyed.join(kept, "_mh_rid", "left_semi").dropDuplicates(["_mh_rid"]).drop("_mh_rid")
