@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .blocks import answered, bucket_count, code_blocks, expand, reassembled, squeeze, words_of
 from .common import written
 
-STATES, CLASSES, ROUNDS, SPAN = 8, 1 << 16, 5, 128
+STATES, CLASSES, ROUNDS = 8, 1 << 16, 5
+LONG, TOGETHER = 4096, 1_000_000  # tokens of a span of a long text, and of the spans that are handled at a time
 END, UNKNOWN = CLASSES, CLASSES + 1
 RANGES = 64  # class ranges in which expected counts are added up
 KEPT = 0.05  # weight of the base model in a state's emissions
@@ -91,48 +92,105 @@ class Model:
         self._emissions(emit / emit.sum(1, keepdims=True))
 
 
-def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of one stream of texts; ``first`` marks where a text begins.
+class SideBySide:
+    """Spans of tokens side by side, the longest first: the first tokens of all, then the second ones, and so on.
 
-    The stream is cut into spans of SPAN tokens that are handled side by side; a span that begins inside a text
-    begins anew from the start probabilities.
+    ``at`` is each token's place in that order; step t holds the places base[t] to base[t] + live[t], one for each of the live[t]
+    longest spans, which ``order`` numbers.
+    """
+
+    def __init__(self, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        length = sizes[self.order]
+        self.live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        self.base = np.cumsum(self.live) - self.live
+        rank = np.empty(len(sizes), np.int64)
+        rank[self.order] = np.arange(len(sizes))
+        self.step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.at = self.base[self.step] + np.repeat(rank, sizes)
+        self.last = self.base[length - 1] + np.arange(len(sizes))
+
+
+def _products(emit: np.ndarray, step: np.ndarray, classes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each span the scaled product D(c1) step D(c2) step ... D(cn), D(c) the diagonal matrix of a class's emissions."""
+    order = np.argsort(-sizes, kind="stable")
+    first, length = begin[order], sizes[order]
+    live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+    product = np.eye(len(step), dtype=np.float32)[None] * emit[classes[first]][:, None, :]
+    for t, m in enumerate(live.tolist()[1:], 1):
+        x = (product[:m] @ step) * emit[classes[first[:m] + t]][:, None, :]
+        product[:m] = x / x.sum((1, 2), keepdims=True)
+    out = np.empty_like(product)
+    out[order] = product
+    return out
+
+
+def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, long: int = LONG, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of whole texts, their classes behind one another; ``first`` marks where a text begins.
+
+    Texts are handled side by side, about ``together`` tokens at a time. One of more than ``long`` tokens is cut into spans; the products of their
+    matrices give each span the forward state that it begins with and the backward state that it ends with, so that
+    the counts are those of the whole text.
     """
     states = len(model.start)
-    emit = np.ascontiguousarray(np.maximum(model.emit.T, 1e-30).astype(np.float32))  # classes that never come only pad
+    emit = np.ascontiguousarray(np.maximum(model.emit.T, 1e-30).astype(np.float32))
     step, start = model.step.astype(np.float32), model.start.astype(np.float32)
-    n = -(-len(classes) // SPAN)
-    pad = n * SPAN - len(classes)
-    c = np.concatenate([classes, np.zeros(pad, classes.dtype)]).reshape(n, SPAN)
-    new = np.concatenate([first, np.ones(pad, bool)]).reshape(n, SPAN).copy()
-    new[:, 0] = True
-    real = np.ones((n, SPAN), bool)
-    if pad:
-        real[-1, SPAN - pad :] = False
-    alpha = np.empty((SPAN, n, states), np.float32)
-    scale = np.empty((SPAN, n, 1), np.float32)
-    a = None
-    for t in range(SPAN):
-        prior = start if t == 0 else np.where(new[:, t : t + 1], start, a @ step)
-        a = prior * emit[c[:, t]]
-        scale[t] = a.sum(1, keepdims=True)
-        a = a / scale[t]
-        alpha[t] = a
-    starts, steps = np.zeros(states), np.zeros((states, states))
-    beta = np.ones((n, states), np.float32)
-    gamma = np.empty((SPAN, n, states), np.float32)
-    for t in range(SPAN - 1, -1, -1):
-        gamma[t] = alpha[t] * beta
-        here = new[:, t] & real[:, t]
-        if here.any():
-            starts += gamma[t][here].sum(0, dtype=np.float64)
-        if t:
-            ahead = emit[c[:, t]] * beta / scale[t]
-            on = (~new[:, t])[:, None]
-            steps += model.step * ((alpha[t - 1] * on).T @ (ahead * on)).astype(np.float64)
-            beta = np.where(on, ahead @ step.T, np.float32(1))
-    weight = gamma * real.T[:, :, None]
-    flat = c.T.ravel()
-    emits = np.stack([np.bincount(flat, weight[:, :, s].ravel(), CLASSES + 2) for s in range(states)])
+    heads = np.flatnonzero(first)
+    lengths = np.diff(np.append(heads, len(classes)))
+    count = -(-lengths // long)
+    text = np.repeat(np.arange(len(heads)), count)
+    k = np.arange(len(text)) - (np.cumsum(count) - count)[text]
+    begin = heads[text] + k * long
+    sizes = np.minimum(heads[text] + lengths[text] - begin, long)
+    prior, ends = np.broadcast_to(start, (len(text), states)).copy(), np.ones((len(text), states), np.float32)
+    cut = np.flatnonzero(count[text] > 1)
+    if len(cut):
+        products = _products(emit, step, classes, begin[cut], sizes[cut])
+        for i, j in enumerate(cut):
+            if k[j]:
+                x = prior[j - 1] @ products[i - 1]
+                prior[j] = (x / x.sum()) @ step
+        for i, j in reversed(list(enumerate(cut))):
+            if k[j] + 1 < count[text[j]]:
+                x = step @ (products[i + 1] @ ends[j + 1])
+                ends[j] = x / x.sum()
+    starts, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, CLASSES + 2))
+    out, into = np.zeros((len(text), states), np.float32), np.zeros((len(text), states), np.float32)  # at the spans' ends and heads
+    group = np.cumsum(sizes) // together
+    for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(text))), strict=True):
+        lay = SideBySide(sizes[a:b])
+        mine = np.empty(len(lay.at), np.int64)
+        mine[lay.at] = classes[begin[a] : begin[b - 1] + sizes[b - 1]]
+        e = emit[mine]
+        alpha, scale = np.empty_like(e), np.empty((len(e), 1), np.float32)
+        x = None
+        for t, (at, m) in enumerate(zip(lay.base.tolist(), lay.live.tolist(), strict=True)):
+            x = (x[:m] @ step if t else prior[a:b][lay.order]) * e[at : at + m]
+            z = x.sum(1, keepdims=True)
+            x /= z
+            alpha[at : at + m], scale[at : at + m] = x, z
+        beta = ends[a:b][lay.order]
+        beta /= (alpha[lay.last] * beta).sum(1, keepdims=True)
+        out[a:b][lay.order] = alpha[lay.last]
+        e /= scale
+        gamma, back = alpha.copy(), np.ascontiguousarray(step.T)
+        for at, m in zip(lay.base[::-1].tolist(), lay.live[::-1].tolist(), strict=True):
+            x = beta[:m]
+            gamma[at : at + m] *= x
+            e[at : at + m] *= x  # from here on what lies ahead of the step before
+            beta[:m] = e[at : at + m] @ back
+        head = slice(0, b - a)
+        into[a:b][lay.order] = e[head]
+        starts += gamma[head][k[a:b][lay.order] == 0].sum(0, dtype=np.float64)
+        for t in range(0, len(lay.at), 1 << 20):
+            place, n = lay.at[t : t + (1 << 20)], lay.step[t : t + (1 << 20)]
+            place, n = place[n > 0], n[n > 0]
+            steps += model.step * (alpha[place - lay.base[n] + lay.base[n - 1]].T @ e[place])
+        for s in range(states):
+            emits[s] += np.bincount(mine, gamma[:, s], CLASSES + 2)
+    within = np.flatnonzero(k)
+    # a span's head was scaled with the state it began with, so the pair's counts sum to one like all others
+    steps += model.step * (out[within - 1].T @ into[within])
     return starts, steps, emits
 
 
