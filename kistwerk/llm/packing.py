@@ -4,14 +4,13 @@ A piece of length l goes to the place (an open bin with gap g >= l, or a new bin
 gaps of the squared number of open bins with that gap becomes smallest. The rule looks at sizes alone,
 so it runs on groups of (document, length) rows, each group in one task: texts and ids never travel. Groups
 have a bounded expected size; a group places its pieces by falling length. Then the worst-filled bins of all
-groups are opened again and their pieces placed anew, so that the number of groups hardly shows in the number
-of sequences; there each group keeps the better of the sum-of-squares rule and plain best fit.
+groups are opened again and their pieces placed anew by the same rule, so that the number of groups hardly shows in
+the number of sequences.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import math
 import zlib
 from collections.abc import Iterator
@@ -27,6 +26,8 @@ from .common import written
 ADDED = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 FREE = np.iinfo(np.int64).max
+#: Runs of white space from here on overflow the stack of the fast encoder's pattern matcher; it stands ten times as many.
+RUN = 20_000
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,23 +60,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, at
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """As sum_of_squares, but a piece goes to the open bin with the smallest gap that holds it."""
-    gaps: list[tuple[int, int]] = []
-    where, at, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for i, l in enumerate(lengths.tolist()):
-        k = bisect.bisect_left(gaps, (l, -1))
-        if k == len(gaps):
-            gap, b = capacity, made
-            made += 1
-        else:
-            gap, b = gaps.pop(k)
-        where[i], at[i] = b, capacity - gap
-        if gap > l:
-            bisect.insort(gaps, (gap - l, b))
-    return where, at
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all are full but, where n isn't a multiple, the first."""
     head = n % capacity
@@ -88,11 +72,32 @@ def tokenizer_ranks(path: str) -> bytes:
 
 
 def token_encoder(ranks: bytes, pattern: str, added: dict[str, int] | None = None):
-    """An encoder by a rank file's bytes; ``added`` tokens are ids of their own wherever they stand in a text."""
+    """The function from a text to its ids (an array) by a rank file's bytes; ``added`` tokens are ids of their own wherever they stand in a text.
+
+    A text with a run of RUN or more white space characters is split by ``regex``, which needs no stack, and encoded word by word; the ids are the same.
+    """
+    import regex
     import tiktoken
 
+    added = added or {}
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=added or {})
+    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=added)
+    run, words = regex.compile(rf"\s{{{RUN}}}"), regex.compile(pattern)
+    marks = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < RUN or not run.search(text):
+            return enc.encode_to_numpy(text, allowed_special="all")
+        ids: list[int] = []
+        for part in marks.split(text) if marks else [text]:
+            if part in added:
+                ids.append(added[part])
+            else:
+                for word in words.findall(part):
+                    ids += enc._encode_single_piece(word)
+        return np.array(ids, np.uint32)
+
+    return encode
 
 
 def token_pieces(df: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: str, end_id: int, capacity: int, added: dict[str, int] | None = None) -> DataFrame:
@@ -100,11 +105,11 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, ranks: bytes, patter
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern, added))  # a vocabulary file, about 1 MB whatever the corpus
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = token_encoder(*shared.value)
+        encode_text = token_encoder(*shared.value)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode_to_numpy(text.as_py() or "", allowed_special="all")
+                ids = encode_text(text.as_py() or "")
                 raw = np.append(ids, end_id).astype("<u4").tobytes()
                 for k, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
                     for col, v in zip(out, (key, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])), strict=True):
@@ -130,11 +135,11 @@ def pack(pieces: DataFrame, capacity: int, rows_per_group: int = 20_000, reopen:
     whole = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     columns = f"{PIECES}, row long, sequence_id long, offset long, gap long"
 
-    def round_of(df: DataFrame, groups: int, first_id: int, rules: tuple) -> DataFrame:
+    def round_of(df: DataFrame, groups: int, first_id: int) -> DataFrame:
         def place(key: tuple, rows: pa.Table) -> pa.Table:
             rows = rows.sort_by([("length", "descending"), ("row", "ascending")])
             length = rows.column("length").to_numpy()
-            where, at = min((rule(length, capacity) for rule in rules), key=lambda found: found[0].max())
+            where, at = sum_of_squares(length, capacity)
             used = np.bincount(where, weights=length).astype(np.int64)
             ids = where * groups + key[0].as_py() + first_id
             return rows.select([*names, "row"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(at)).append_column("gap", pa.array(capacity - used[where]))
@@ -143,10 +148,10 @@ def pack(pieces: DataFrame, capacity: int, rows_per_group: int = 20_000, reopen:
         return df.withColumn("g", group).repartition(groups, "g").groupBy("g").applyInArrow(place, columns)
 
     groups = max(1, math.ceil(n / rows_per_group))
-    first = written(round_of(rows.where(F.col("length") < capacity), groups, 0, (sum_of_squares,)), "packed")
+    first = written(round_of(rows.where(F.col("length") < capacity), groups, 0), "packed")
     kept = first.where(F.col("gap") < reopen)
     open_ = first.where(F.col("gap") >= reopen).select(*names, "row")
-    again = round_of(open_, max(1, math.ceil(open_.count() / rows_per_group)), 1 << 40, (sum_of_squares, best_fit))
+    again = round_of(open_, max(1, math.ceil(open_.count() / rows_per_group)), 1 << 40)
     final = [*names, "sequence_id", "offset"]
     return whole.select(final).unionByName(kept.select(final)).unionByName(again.select(final))
 

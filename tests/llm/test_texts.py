@@ -1,6 +1,8 @@
 """op 4 to 10 and the shared tools, each against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -182,7 +184,6 @@ def test_packing(spark):
 
     texts = corpus()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = packing.packed_documents(frame(spark, texts, False), RANKS, public_tokenizers.PATTERN).collect()
     for i, t in enumerate(texts):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -219,8 +220,11 @@ def test_packing_is_close_to_the_bound(spark):
     rng = np.random.default_rng(1)
     rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 1025, 3000))]
     got = packing.pack(spark.createDataFrame(rows, packing.PIECES), 1024, rows_per_group=500).collect()
-    alone = 1 + packing.best_fit(np.sort([r[3] for r in rows])[::-1], 1024)[0].max()
-    assert len({r.sequence_id for r in got}) <= 1.03 * alone  # groups far smaller than in use
+    gaps: list[int] = []  # best fit by falling length, all in one group
+    for n in sorted((r[3] for r in rows), reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else 1024) - n)
+    assert len({r.sequence_id for r in got}) <= 1.03 * len(gaps)  # groups far smaller than in use
 
 
 def brute_forward(model, classes):
@@ -247,6 +251,37 @@ def test_forward_is_exact_and_training_helps():
     assert np.allclose(model.emit.sum(1), 1)
 
 
+def enumerated_counts(model, texts):
+    """Baum-Welch counts by going through all state paths."""
+    n = len(model.start)
+    starts, steps, emits = np.zeros(n), np.zeros((n, n)), np.zeros((n, hmm.CLASSES + 2))
+    for text in texts:
+        weight = {}
+        for path in itertools.product(range(n), repeat=len(text)):
+            p = model.start[path[0]] * math.prod(model.emit[s, c] for s, c in zip(path, text, strict=True))
+            weight[path] = p * math.prod(model.step[a, b] for a, b in itertools.pairwise(path))
+        total = sum(weight.values())
+        for path, p in weight.items():
+            starts[path[0]] += p / total
+            for a, b in itertools.pairwise(path):
+                steps[a, b] += p / total
+            for s, c in zip(path, text, strict=True):
+                emits[s, c] += p / total
+    return starts, steps, emits
+
+
+@pytest.mark.parametrize(("long", "together"), [(100, 1000), (3, 1000), (3, 4), (2, 1), (1, 5)])
+def test_expected_counts_are_those_of_all_paths(long, together):
+    """Also where texts are cut into spans: nothing is lost at their edges."""
+    rng = np.random.default_rng(1)
+    model = hmm.Model(rng.random(hmm.CLASSES + 1), 1e-3, states=3)
+    texts = [rng.integers(0, hmm.CLASSES + 2, n) for n in (1, 5, 7, 2, 8, 3, 8)]
+    first = np.concatenate([np.arange(len(x)) == 0 for x in texts])
+    got = hmm.expected_counts(model, np.concatenate(texts), first, long, together)
+    for a, b in zip(got, enumerated_counts(model, texts), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+
+
 def test_hmm_documents(spark):
     texts = corpus(4, 120)
     docs = frame(spark, texts)
