@@ -41,9 +41,12 @@ GROUP = 64
 
 
 def sides(share: float) -> int:
-    """S for a threshold."""
+    """S for a threshold; a ValueError where more than MOST_SIDES would be needed to miss no more than MISS (below 0.64)."""
     each = 1 - math.sqrt(1 - MISS)
-    return min(MOST_SIDES, max(1, math.ceil(math.log(each) / math.log1p(-min(share, 0.999) ** ROWS))))
+    needed = max(1, math.ceil(math.log(each) / math.log1p(-min(max(share, 1e-3), 0.999) ** ROWS)))
+    if needed > MOST_SIDES:
+        raise ValueError(f"a threshold of {share:.2f} would need {needed} keys a side; {MOST_SIDES} are the most")
+    return needed
 
 
 def minhashes(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -240,6 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, share: int = 85,
     component_id is the smallest id reachable by links, kept tells whether that is the row's own. Null or wordless
     texts have empty sets and are linked with nothing. A null id never is the smallest unless all are null, and such a
     row is kept only where its component has null ids alone. Rows with equal ids and texts get equal results. Other columns are dropped.
+    A threshold below 0.64 is refused (see sides).
     """
     rows, labelled = _linked(df, id_col, text_col, share, of)
     smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
