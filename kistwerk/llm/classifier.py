@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_slice
+from .common import pieces, text_slice, written
 
 CHUNK, STEP, WIDTH, STRIDE, DIM, FILTERS = 512, 448, 10, 2, 6, 32
 PAD = 256
-#: The classifier is fitted on at most FIT_ROWS labelled rows, and of each on at most FIT_CHUNKS chunks, evenly spread.
-FIT_ROWS, FIT_CHUNKS, STEPS, BATCH = 4000, 24, 700, 48
+#: The classifier is fitted on at most FIT_ROWS labelled rows with at most FIT_BYTES of text between them, each whole.
+FIT_ROWS, FIT_BYTES, STEPS, BATCH = 4000, 32 << 20, 700, 48
+#: Chunks whose windows are held at a time.
+SLICE = 128
 
 
 @dataclass
@@ -68,12 +70,15 @@ def windows(net: Network, x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(e, WIDTH * DIM, axis=1)[:, :: STRIDE * DIM])
 
 
-def pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Responses (chunks, FILTERS) after max pooling, before the ramp, with the places they come from and the windows."""
-    w = windows(net, x)
-    r = (w.reshape(-1, WIDTH * DIM) @ net.filters).reshape(len(x), -1, FILTERS)
-    place = r.argmax(1)
-    return np.take_along_axis(r, place[:, None], 1)[:, 0] + net.bias, place, w
+def pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Responses (chunks, FILTERS) after max pooling, before the ramp, and the windows they come from."""
+    out, place = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    for i in range(0, len(x), SLICE):
+        w = windows(net, x[i : i + SLICE])
+        r = (w.reshape(-1, WIDTH * DIM) @ net.filters).reshape(len(w), -1, FILTERS)
+        place[i : i + SLICE] = at = r.argmax(1)
+        out[i : i + SLICE] = np.take_along_axis(r, at[:, None], 1)[:, 0]
+    return out + net.bias, place
 
 
 def responses(net: Network, x: np.ndarray) -> np.ndarray:
@@ -84,6 +89,32 @@ def responses(net: Network, x: np.ndarray) -> np.ndarray:
     return np.maximum(out + net.bias, 0)
 
 
+def gradients(net: Network, x: np.ndarray, count: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean logistic loss of texts, whose chunks are given behind one another, and its gradients in the order of Network.arrays."""
+    r, place = pooled(net, x)
+    h = np.maximum(r, 0)
+    at = np.cumsum(count) - count
+    doc = np.repeat(np.arange(len(count)), count)
+    top, mean = np.maximum.reduceat(h, at), np.add.reduceat(h, at) / count[:, None]
+    z = np.clip(np.concatenate([top, mean], axis=1) @ net.top + net.shift, -40, 40)
+    loss = float(np.mean(np.logaddexp(0, z) - labels * z))
+    d = (1 / (1 + np.exp(-z)) - labels) / len(count)
+    g_top = np.concatenate([top, mean], axis=1).T @ d
+    is_top = (h == top[doc]) & (h > 0)
+    ties = np.maximum(np.add.reduceat(is_top.astype(np.float32), at), 1)
+    g = d[doc, None] * (net.top[:FILTERS] * is_top / ties[doc] + net.top[FILTERS:] / count[doc, None])
+    g = np.where(r > 0, g, 0).astype(np.float32)
+    g_filters, g_embed = np.zeros_like(net.filters), np.zeros((257, DIM))
+    for i in range(0, len(x), SLICE):
+        part, mine = x[i : i + SLICE], g[i : i + SLICE]
+        byte = part[np.arange(len(part))[:, None, None], place[i : i + SLICE, :, None] * STRIDE + np.arange(WIDTH)]
+        g_filters += np.einsum("nfk,nf->kf", net.embed[byte].reshape(len(part), FILTERS, -1), mine)
+        back = (net.filters.T[None] * mine[:, :, None]).reshape(-1, DIM)
+        g_embed += np.stack([np.bincount(byte.ravel(), back[:, k], 257) for k in range(DIM)], axis=1)
+    g_embed[PAD] = 0
+    return loss, [g_embed, g_filters, g.sum(0), g_top, np.array([d.sum()])]
+
+
 def probability(net: Network, h: np.ndarray, count: np.ndarray) -> np.ndarray:
     at = np.cumsum(count) - count
     feats = np.concatenate([np.maximum.reduceat(h, at), np.add.reduceat(h, at) / count[:, None]], axis=1)
@@ -113,25 +144,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 4) -> Network:
             order += rng.permutation(len(texts)).tolist()
         mine, order = order[:BATCH], order[BATCH:]
         x, count = np.concatenate([sets[i] for i in mine]), np.array([len(sets[i]) for i in mine])
-        r, place, w = pooled(net, x)
-        h = np.maximum(r, 0)
-        at = np.cumsum(count) - count
-        doc = np.repeat(np.arange(len(mine)), count)
-        top, mean = np.maximum.reduceat(h, at), np.add.reduceat(h, at) / count[:, None]
-        z = np.concatenate([top, mean], axis=1) @ net.top + net.shift
-        d = ((1 / (1 + np.exp(-np.clip(z, -40, 40)))) - labels[mine]) / len(mine)
-        g_top = np.concatenate([top, mean], axis=1).T @ d
-        is_top = (h == top[doc]) & (h > 0)
-        ties = np.maximum(np.add.reduceat(is_top.astype(np.float32), at), 1)
-        g = d[doc, None] * (net.top[:FILTERS] * is_top / ties[doc] + net.top[FILTERS:] / count[doc, None])
-        g = np.where(r > 0, g, 0).astype(np.float32)
-        picked = w[np.arange(len(x))[:, None], place]
-        g_filters = np.einsum("nfk,nf->kf", picked, g)
-        back = (net.filters.T[None] * g[:, :, None]).reshape(-1, DIM)
-        byte = x[np.arange(len(x))[:, None, None], place[:, :, None] * STRIDE + np.arange(WIDTH)].ravel()
-        g_embed = np.stack([np.bincount(byte, back[:, k], 257) for k in range(DIM)], axis=1)
-        g_embed[PAD] = 0
-        grads = g_embed, g_filters, g.sum(0), g_top + 1e-4 * net.top, np.array([d.sum()])
+        grads = gradients(net, x, count, labels[mine])[1]
+        grads[3] = grads[3] + 1e-4 * net.top
         rate = 0.01 * min(1, 2 * (1 - (step - 1) / STEPS))
         for a, dm, dv, gr in zip(net.arrays(), m, v, grads, strict=True):
             dm += 0.1 * (gr - dm)
@@ -145,30 +159,29 @@ def held_out(doc_id) -> object:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def sample(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` labelled texts of the learning fold, picked by a hash of doc_id, each as at most FIT_CHUNKS evenly spread chunks' bytes."""
+def sample(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Whole labelled texts of the learning fold: the first ``rows`` by a hash of doc_id, as far as they have ``most`` bytes between them.
+
+    A text of more than ``most`` bytes is passed over as a row. Of texts with one doc_id the greatest counts.
+    """
     fold = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = fold.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    most = FIT_CHUNKS * STEP
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(1):
-                raw = (t.as_py() or "").encode()
-                if len(raw) > most:
-                    starts = np.linspace(0, len(raw) - STEP, FIT_CHUNKS).astype(int)
-                    raw = b"".join(raw[s : s + STEP] for s in starts)
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], ["doc_id", "raw", "quality"])
-
-    got = documents.select("doc_id", "text").join(F.broadcast(one), "doc_id")  # at most FIT_ROWS ids
-    got = got.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(cut, "doc_id long, raw binary, quality int")
-    first: dict[int, tuple[bytes, int]] = {}
-    for r in got.toArrow().to_pylist():  # at most FIT_ROWS x FIT_CHUNKS x STEP bytes but for repeated doc_ids
-        first[r["doc_id"]] = max(first.get(r["doc_id"], (b"", 0)), (r["raw"], r["quality"]))
-    keys = sorted(first)
-    return [first[k][0] for k in keys], np.array([first[k][1] for k in keys], np.float32)
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most)
+    got = texts.join(F.broadcast(one), "doc_id")  # at most FIT_ROWS ids
+    got = written(got.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").distinct(), "sample")
+    sizes = got.groupBy("h", "doc_id").agg(F.max(F.octet_length("text"))).collect()  # at most FIT_ROWS
+    total, last = 0, None
+    for h, doc_id, n in sorted(map(tuple, sizes)):
+        total += n
+        if total > most:
+            break
+        last = h, doc_id
+    if last is None:
+        return [], np.zeros(0, np.float32)
+    chosen = got.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("doc_id") <= last[1])))
+    found = chosen.groupBy("doc_id").agg(F.max("text").cast("binary").alias("raw"), F.max("quality").alias("quality")).toArrow().to_pylist()  # at most FIT_BYTES
+    found.sort(key=lambda r: r["doc_id"])
+    return [r["raw"] for r in found], np.array([r["quality"] for r in found], np.float32)
 
 
 def score(df: DataFrame, text_col: str, net: Network, into: str = "score") -> DataFrame:

@@ -370,3 +370,57 @@ def test_chunks_cover_everything():
         assert count.tolist() == [len(classifier.chunk_starts(n))] and (x != classifier.PAD).sum() >= n
         seen = {s + k for s in classifier.chunk_starts(n).tolist() for k in range(classifier.CHUNK)}
         assert seen >= set(range(n))
+
+
+def plain_forward(net, texts, labels):
+    """The network by loops over bytes: score of each text, and the mean loss."""
+    scores = []
+    for t in texts:
+        raw, per_chunk = t.encode(), []
+        for start in classifier.chunk_starts(len(raw)).tolist():
+            chunk = list(raw[start : start + classifier.CHUNK])
+            chunk += [classifier.PAD] * (classifier.CHUNK - len(chunk))
+            best = np.full(classifier.FILTERS, -np.inf)
+            for place in range(0, classifier.CHUNK - classifier.WIDTH + 1, classifier.STRIDE):
+                window = np.concatenate([net.embed[b].astype(float) for b in chunk[place : place + classifier.WIDTH]])
+                best = np.maximum(best, window @ net.filters.astype(float) + net.bias)
+            per_chunk.append(np.maximum(best, 0))
+        feats = np.concatenate([np.max(per_chunk, axis=0), np.mean(per_chunk, axis=0)])
+        scores.append(1 / (1 + math.exp(-(feats @ net.top + net.shift[0]))))
+    return scores, -np.mean([math.log(p if y else 1 - p) for p, y in zip(scores, labels, strict=True)])
+
+
+def test_network_against_loops_and_numeric_gradients():
+    rng = random.Random(3)
+    texts, labels = [sentence(rng, n) for n in (3, 60, 170, 400)] + [""], np.array([1, 0, 1, 0, 1], np.float32)
+    net = classifier.Network.new(1)
+    net.bias[:] = 0.01  # off the kink, on which an empty text's responses would lie
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    x, count = classifier.chunks(np.concatenate(raw), off)
+    want, loss = plain_forward(net, texts, labels)
+    assert np.allclose(classifier.probability(net, classifier.responses(net, x), count), want, atol=1e-5)
+    got, grads = classifier.gradients(net, x, count, labels)
+    assert math.isclose(got, loss, rel_tol=1e-4)
+    for array, grad in zip(net.arrays(), grads, strict=True):
+        flat, step = array.reshape(-1), 1e-3
+        for k in np.argsort(-np.abs(np.asarray(grad).reshape(-1)))[:4]:
+            kept = flat[k]
+            flat[k] = kept + step
+            up = plain_forward(net, texts, labels)[1]
+            flat[k] = kept - step
+            down = plain_forward(net, texts, labels)[1]
+            flat[k] = kept
+            assert math.isclose((up - down) / (2 * step), np.asarray(grad).reshape(-1)[k], rel_tol=0.02, abs_tol=1e-5)
+
+
+def test_sample_keeps_texts_whole(spark):
+    """Whole texts within the bound on bytes; a longer one is passed over; repeated doc_ids count once."""
+    docs = spark.createDataFrame([(i, "x" * (100 * i + 1), 1) for i in range(40)] + [(5, "zz", 1), (5, "zz", 2), (None, "n", 1)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(80)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    learn = {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts, quality = classifier.sample(docs, labels)
+    assert len(texts) == len(quality) == len(learn) and sorted(map(len, texts)) == sorted(2 if i == 5 else 100 * i + 1 for i in learn)
+    some = classifier.sample(docs, labels, most=3000)[0]
+    assert 0 < sum(map(len, some)) <= 3000 and set(some) <= set(texts)
+    assert len(classifier.sample(docs, labels, rows=3)[0]) == 3
