@@ -2,12 +2,14 @@
 
 A normalised vector x falls, in each of L tables, into the bucket of floor((a.x + b) / WIDTH) for m Gaussian
 projections a. Vectors of cosine c are sqrt(2 - 2c) apart; m grows with the logarithm of the number of vectors, so
-that unrelated vectors share few buckets, and L follows from m so that a pair at the threshold is missed in all
-tables with probability MISS at most. Pairs that share a bucket are checked by their cosine in double precision.
+that about FILL unrelated vectors share a bucket, and L follows from m so that a pair at the threshold is missed in all
+tables with probability MISS at most. Pairs that share a bucket are checked by their cosine in double precision, all pairs
+of a bucket by one product of matrices; longer keys would make buckets smaller, but need more tables, in each of which every vector travels.
 
 Equal vectors are one node with a count. A bucket of more than BLOCK nodes is dealt out as pairs of blocks. A link
-that several tables find is reported by the first of them alone: the task recomputes the earlier
+that several tables find is counted by the first of them alone: the task recomputes the earlier
 tables' keys of the two vectors, with numbers rounded so that every sum is exact in doubles, whatever its order.
+Links are never written one by one: a task gives for each of its nodes the number of new links, and a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import mix, written
 from .components import connected_components
 
-WIDTH, MISS, BLOCK = 2.0, 0.002, 512
+WIDTH, MISS, BLOCK, FILL = 2.0, 0.002, 512, 64
 
 
 def collision(distance: float) -> float:
@@ -35,7 +37,7 @@ def collision(distance: float) -> float:
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
     """(m, L) for n vectors."""
-    m = max(8, math.ceil(math.log(n + 1) / -math.log(collision(1.3))) - 2)
+    m = max(4, math.ceil(math.log((n + 1) / FILL) / -math.log(collision(1.3))))  # unrelated vectors are about sqrt(2) apart
     p = collision(math.sqrt(max(2 - 2 * threshold, 1e-4))) ** m
     return m, max(1, math.ceil(math.log(MISS) / math.log1p(-p)))
 
@@ -52,12 +54,31 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def keys(x: np.ndarray, m: int, tables: int) -> np.ndarray:
-    """Bucket keys (vectors, tables) of unit vectors; exact sums, so that any grouping of rows gives the same."""
+def keys(x: np.ndarray, m: int, tables: int, first: int | None = None) -> np.ndarray:
+    """Bucket keys (vectors, tables) of unit vectors, of the ``first`` tables only if given; exact sums, so that any grouping of rows gives the same."""
     a, b, odd = _projections(x.shape[1], m, tables)
-    q = np.floor((np.round(x * 2**20) / 2**20 @ a + b) / WIDTH).astype(np.int64).astype(np.uint64)
-    h = (q.reshape(len(x), tables, m) * odd).sum(axis=2)
-    return mix(h + np.arange(tables, dtype=np.uint64) * odd[0] + np.uint64(x.shape[1])).view(np.int64)
+    n = tables if first is None else first
+    q = np.floor((np.round(x * 2**20) / 2**20 @ a[:, : n * m] + b[: n * m]) / WIDTH).astype(np.int64).astype(np.uint64)
+    h = (q.reshape(len(x), n, m) * odd).sum(axis=2)
+    return mix(h + np.arange(n, dtype=np.uint64) * odd[0] + np.uint64(x.shape[1])).view(np.int64)
+
+
+def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Numbers of links (u, v) between n nodes that join the same nodes as all of them, fewer than n."""
+    label, kept = np.arange(n), []
+    while True:
+        a, b = label[u], label[v]
+        open_ = np.flatnonzero(a != b)
+        if not len(open_):
+            return np.concatenate(kept) if kept else open_
+        lo, hi = np.minimum(a, b)[open_], np.maximum(a, b)[open_]
+        top, one = np.unique(hi, return_index=True)
+        kept.append(open_[one])
+        up = np.arange(n)
+        up[top] = lo[one]
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        label = up[label]
 
 
 def _matrix(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -84,7 +105,8 @@ def _hash(m: int, tables: int):
 
 def _check(m: int, tables: int, threshold: float):
     def links(group: pa.Table, table: int, lo: int, hi: int) -> pa.RecordBatch | None:
-        node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
+        """(u, null, partners) of each node with links that no earlier table has, and (u, v, null) of a forest of them."""
+        node, block, n = (group.column(c).to_numpy() for c in ("node", "block", "n"))
         x = unit(group.column("vec").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(node), -1))
         if lo == hi:
             left = right = np.arange(len(node))
@@ -97,10 +119,16 @@ def _check(m: int, tables: int, threshold: float):
         if table and len(u):
             used = np.unique(np.concatenate([u, v]))
             k = np.zeros((len(node), table), np.int64)
-            k[used] = keys(x[used], m, tables)[:, :table]
+            k[used] = keys(x[used], m, tables, table)
             new = np.concatenate([~(k[u[i : i + 4096]] == k[v[i : i + 4096]]).any(axis=1) for i in range(0, len(u), 4096)])
             u, v = u[new], v[new]
-        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"]) if len(u) else None
+        if not len(u):
+            return None
+        partners = (np.bincount(u, n[v], len(node)) + np.bincount(v, n[u], len(node))).astype(np.int64)
+        has, joined = np.flatnonzero(partners), forest(len(node), u, v)
+        none = lambda count: pa.nulls(count, pa.int64())
+        cols = (pa.array(node[has]), pa.array(node[u[joined]])), (none(len(has)), pa.array(node[v[joined]])), (pa.array(partners[has]), none(len(joined)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["u", "v", "partners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -151,11 +179,10 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = 0.
     shared = hashed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").drop("c")
     live = hashed.join(shared, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tab", "bucket", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = dealt.join(nodes.select("node", "vec"), "node").repartition("bucket", "tab", "lo", "hi").sortWithinPartitions("bucket", "tab", "lo", "hi")
-    links = written(full.mapInArrow(_check(m, tables, threshold), "u long, v long"), "links")
-    found = written(connected_components(links), "components")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    partners = both.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("partners"))
+    full = dealt.join(nodes.select("node", "vec", "n"), "node").repartition("bucket", "tab", "lo", "hi").sortWithinPartitions("bucket", "tab", "lo", "hi")
+    links = written(full.mapInArrow(_check(m, tables, threshold), "u long, v long, partners long"), "links")
+    found = written(connected_components(links.where("v is not null").select("u", "v")), "components")
+    partners = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("partners").alias("partners"))
     placed = nodes.join(found, "node", "left").join(partners, "node", "left").select("node", "id", "n", F.coalesce("component", "node").alias("component"), F.coalesce("partners", F.lit(0)).alias("partners"))
     smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     named = placed.join(smallest, "component").select("node", "component_id", (F.col("partners") + F.col("n") - 1).alias("n_links"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from kistwerk.llm.vectors import keys, near_vectors, plan, unit
+from kistwerk.llm.vectors import forest, keys, near_vectors, plan, unit
 
 
 def components(n, links):
@@ -73,3 +73,36 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     u = unit(x)
     want = (u @ u.T >= 0.9).sum(1) - 1
     assert all(got[i] == want[i] for i in range(90))
+
+
+def test_forest_joins_what_all_links_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (5, 3), (40, 30), (40, 400), (300, 5000)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        u, v = u[u != v], v[u != v]
+        kept = forest(n, u, v)
+        assert len(kept) == n - len(set(components(n, zip(u, v, strict=True)))) and components(n, zip(u[kept], v[kept], strict=True)) == components(n, zip(u, v, strict=True))
+
+
+def test_ties_at_the_threshold(spark):
+    """(3, 4) and (1, 0) have a cosine of 0.6 exactly: linked at 0.6, not above."""
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [-3.0, 4.0]), (4, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    links = lambda at: {r.vec_id: r.n_links for r in near_vectors(df, "vec_id", "embedding", at).collect()}
+    assert links(0.6) == {1: 2, 2: 2, 3: 0, 4: 2} and links(np.nextafter(0.6, 1)) == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_recall_on_planted_links(spark):
+    """20,000 vectors with pairs and groups planted around the threshold, against all cosines."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 32))
+    for i in range(0, 6000, 2):
+        x[i + 1] = x[i] + rng.normal(size=32) * rng.uniform(0.2, 0.5)
+    x[7000:7400] = x[7000] + rng.normal(size=(400, 32)) * 0.2
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: r.n_links for r in near_vectors(df, "vec_id", "embedding").collect()}
+    u = unit(x)
+    want = np.concatenate([(u[i : i + 2000] @ u.T >= 0.9).sum(1) for i in range(0, len(u), 2000)]) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() and want.sum() > 5000
