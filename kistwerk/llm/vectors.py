@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import mix, written
 from .components import connected_components
 
-WIDTH, MISS, BLOCK, FILL = 2.0, 0.002, 512, 64
+WIDTH, MISS, BLOCK, FILL = 2.0, 0.002, 512, 256
 
 
 def collision(distance: float) -> float:
