@@ -41,9 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def _remove_scratch() -> None:
     for spark, path in _scratch.values():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM has gone before us: then the folder's owner clears it
             return
 
@@ -66,7 +64,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     small_batches(df.sparkSession)
     path = _place(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kistwerk_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave and that nothing reads any more, and lets Spark drop the shuffle files of queries that are over."""
+    for df in tables:
+        _delete(df.sparkSession, df._kistwerk_path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def written_by(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:

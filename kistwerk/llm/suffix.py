@@ -4,25 +4,23 @@ A byte goes if a string of SPAN bytes that covers it also starts anywhere else.
 position of the corpus in log2(SPAN) sorts; that is some 20 bytes a round for every byte of text. Here the
 positions that are ranked and sorted are anchors, chosen by their own next LOCAL bytes, one in about GAP bytes (where
 none is near, one in FINE), so that equal strings have equal anchors at equal offsets; every start is looked at
-through the first anchor at or after it. Each round sorts (rank 1, rank 2, place) of what the last has left:
-
-  rank 1 names bytes that every string of the row contains; where that name is unique, none of them comes twice;
-  rank 2 names all bytes that the row's strings cover; where that name comes twice, all of them do;
-  what is neither goes on to longer ranks for fewer starts, together with one representative of every name of rank 2 that
-  comes twice under the same name of rank 1.
-
-  round 1: HEAD bytes from the anchor, and all strings of the anchor (up to SPAN - HEAD + 1 of them);
-  round 2: SPAN - STEP + 1 bytes, and the strings of STEP neighbouring starts, counted off from the anchor;
-  round 3: the strings of SPAN bytes themselves, past the threshold.
-
-Names are hashes of substrings, polynomials over 2^64 whose prefixes are summed once a text: the rank of 2h bytes
-follows from those of its halves without a sort, and the corpus-wide sorts only decide what is unique. Rows are
-range-partitioned, so a name that a third of all texts share is cut over as many tasks as it needs; a task that cannot
-see a name's neighbours across its edge keeps the position for the next round; the last is exact. Texts are
-written once in buckets by row key, and don't move after that.
-
-With ``words`` given, a string of so many whole words goes as well if its bytes stand anywhere else as such a string. Those of
-SPAN bytes and more need no look of their own. The shorter ones share the rows of round 1 with the strings of SPAN bytes that have the same
+through the first anchor at or after it. The rank of 2h bytes at a position is made of the pair (rank of h bytes there, rank of h bytes h
+further on); equal bytes have equal ranks in all texts, so a rank at any offset is at hand where its text is. Spark sorts the pairs of
+each round; a position whose pair nothing else shares is done with, the others are ranked anew at twice the length:
+
+  HEAD bytes at the anchor, and with them the name of all bytes that the anchor's strings cover: where that name comes twice, all its strings do,
+  and they are settled at once, but for one row that stands for them;
+  2 HEAD bytes, (rank[i], rank[i + HEAD]); 4 HEAD bytes, (rank[i], rank[i + 2 HEAD]): for the strings that reach so far, told by how far before their anchor they start;
+  SPAN - STEP + 1 bytes, two overlapping ranks of 4 HEAD, for groups of STEP neighbouring starts counted off from the anchor, again with the name of all they cover;
+  SPAN bytes, past the threshold: the strings of single starts that are left.
+
+Ranks are 64-bit hashes: a false equality of two only keeps a position for the next round. What decides on removal are names of 96 bits: two
+polynomials over 2^64 with bases and tables of their own, of the second 32 bits are kept. Rows are range-partitioned, so a rank that a third of all texts share is cut over as many
+tasks as it needs; a task that cannot see a rank's neighbours across its edge keeps the position for the next round; the last is exact. Texts are
+written once in buckets by row number, and don't move after that.
+
+With ``words`` given, strings of so many whole words whose bytes stand anywhere else as such a string are found as well. Those of
+SPAN bytes and more need no look of their own. The shorter ones share the rows of the first round with the strings of SPAN bytes that have the same
 anchor, and what that round leaves goes straight to the last; those without an anchor near enough go there at once.
 """
 
@@ -36,26 +34,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, row_key, text_slice, written, written_by
+from .common import discard, mix, pieces, text_slice, written, written_by
 from .textops import powers, word_bounds, word_edges
 
 SPAN, GAP, FINE, HEAD, LOCAL, STEP = 400, 48, 4, 64, 16, 16
+#: Strings that start less than so many bytes before their anchor hold the 2 HEAD, or 4 HEAD, bytes from it; both are multiples of STEP.
+MIDDLE, DEEP = SPAN - 2 * HEAD, SPAN - 4 * HEAD
 _rng = np.random.default_rng(9)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(2**62)) * 2 + 1
+_BYTES = _rng.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = [int(x) * 2 + 1 for x in _rng.integers(2**62, size=2)]
 _SALT = np.uint64(0x9E3779B97F4A7C15)
+_PAIR = np.uint64(_rng.integers(2**62) * 2 + 1)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rank of 2h bytes from those of its halves."""
+    return mix(a * _PAIR + mix(b + _SALT))
 
 
 class Names:
     """Names of substrings of many texts laid end to end."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(len(data) + 1, _BASE)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.up[:-1], out=self.sums[1:])
+        self.data, self.sums = data, [None, None]
+
+    def _of(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        up, down = powers(len(self.data) + 1, _BASES[k])
+        if self.sums[k] is None:
+            self.sums[k] = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_BYTES[k][self.data] * up[:-1], out=self.sums[k][1:])
+        return mix((self.sums[k][end] - self.sums[k][start]) * down[start] + (end - start).astype(np.uint64) * _SALT)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _SALT)
+        return self._of(0, start, end)
+
+    def twin(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The other part of a name, 32 bits."""
+        return (self._of(1, start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def rank(self, at: np.ndarray, h: int) -> np.ndarray:
+        """The rank of the h bytes at each position, h being HEAD or a double of it."""
+        if h == HEAD:
+            return self.of(at, at + HEAD)
+        return paired(self.rank(at, h // 2), self.rank(at + h // 2, h // 2))
 
 
 def word_strings(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +91,11 @@ BYTES, WHOLE, BOTH = 0, 1, 2
 
 
 def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tuple[np.ndarray, ...]:
-    """(text, rank 1, rank 2, lo, hi, at, over, kind): starts lo to hi are seen through the anchor at ``at``, all counted in the text;
-    the last of their strings to end does so at hi + over.
+    """(text, rank, name, twin, lo, hi, at, over, kind, more, less): starts lo to hi are seen through the anchor at ``at``, all counted in the text;
+    the last of their strings to end does so at hi + over. rank is that of HEAD bytes at the anchor, name and twin name all bytes that the strings cover.
 
-    Starts without any anchor within SPAN - HEAD bytes have ranks of zero and no anchor (-1). kind tells whether the row
-    stands for strings of SPAN bytes, of whole words, or both.
+    Starts without any anchor within SPAN - HEAD bytes have ranks and names of zero and no anchor (-1). kind tells whether the row
+    stands for strings of SPAN bytes, of whole words, or both; strings of SPAN bytes then start from lo + more to hi - less.
     """
     n, near = len(data), SPAN - HEAD
     names = Names(data)
@@ -113,7 +134,8 @@ def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tu
         low[rows_of] = np.where(mixed, np.minimum(lo[rows_of], start[top[0]]), start[top[0]])
         high[rows_of] = np.where(mixed, np.maximum(hi[rows_of], start[top[1]]), start[top[1]])
         ends[rows_of] = np.where(mixed, np.maximum(ends[rows_of], stop[top[1]]), stop[top[1]])
-    rows = [(text, low, high, anchor, ends, kind)]
+    both = kind == BOTH
+    rows = [(text, low, high, anchor, ends, kind, np.where(both, lo - low, 0), np.where(both, high - hi, 0))]
     # starts before lo, and those after a text's last anchor, have no anchor near enough
     tail = begin.copy()
     final = np.ones(len(text), bool)
@@ -127,40 +149,46 @@ def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tu
         y = fine[np.searchsorted(fine, a) : np.searchsorted(fine, min(b + near, end[t] - LOCAL), "right")]
         low = np.maximum(np.concatenate([[a], y[:-1] + 1])[: len(y)], y - near)
         high = np.minimum(y, b)
-        rows.append((np.full(len(y), t), low, high, y, high + SPAN, np.full(len(y), BYTES)))
+        zero = np.zeros(len(y), np.int64)
+        rows.append((np.full(len(y), t), low, high, y, high + SPAN, zero + BYTES, zero, zero))
         # what lies between: before low, and after the last
         floor = np.concatenate([[a], y[:-1] + 1, [y[-1] + 1 if len(y) else a]]) if len(y) else np.array([a])
         ceil = np.minimum(np.concatenate([low - 1, [b]]), b)
         for f, c in zip(floor[-len(ceil) :].tolist(), ceil.tolist(), strict=True):
             if f <= c:
                 left.append((t, f, c))
-    who, lo, hi, at, ends, kind = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(6))
-    ok = lo <= hi
-    who, lo, hi, at, ends, kind = who[ok], lo[ok], hi[ok], at[ok], ends[ok], kind[ok]
-    one, two = names.of(at, at + HEAD), names.of(lo, ends)
+    cells = [np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(8)]
+    ok = cells[1] <= cells[2]
+    who, lo, hi, at, ends, kind, more, less = (c[ok] for c in cells)
+    one, two, three = names.of(at, at + HEAD), names.of(lo, ends), names.twin(lo, ends)
     if words:  # equal bytes hold the same words only where both their ends are ends of words, or both aren't
         before, after = word_edges(data, off)
-        two = np.where(kind == BYTES, two, mix(two + before[lo] * np.uint64(2) + after[ends - 1] + np.uint64(1)))
+        edge = before[lo] * np.uint64(2) + after[ends - 1] + np.uint64(1)
+        two = np.where(kind == BYTES, two, mix(two + edge))
     rest = np.array([(*x, SPAN, BYTES) for x in left], np.int64).reshape(-1, 5)
     if words and len(free[0]):
-        more = np.stack([free[0], free[1], free[1], free[2] - free[1], np.full(len(free[0]), WHOLE)], axis=1)
-        rest = np.concatenate([rest, more])
-    zero = np.zeros(len(rest), np.uint64)
-    who, one, two = np.concatenate([who, rest[:, 0]]), np.concatenate([one, zero]), np.concatenate([two, zero])
+        extra = np.stack([free[0], free[1], free[1], free[2] - free[1], np.full(len(free[0]), WHOLE)], axis=1)
+        rest = np.concatenate([rest, extra])
+    none = np.zeros(len(rest), np.int64)
+    who = np.concatenate([who, rest[:, 0]])
+    one, two, three = (np.concatenate([x, none.astype(x.dtype)]) for x in (one, two, three))
     base = begin[who]
     lo, hi, over = np.concatenate([lo, rest[:, 1]]) - base, np.concatenate([hi, rest[:, 2]]) - base, np.concatenate([ends - hi, rest[:, 3]])
-    return who, one, two, lo, hi, np.concatenate([at - base[: len(at)], np.full(len(rest), -1)]), over, np.concatenate([kind, rest[:, 4]])
+    at, kind = np.concatenate([at - base[: len(at)], none - 1]), np.concatenate([kind, rest[:, 4]])
+    return who, one, two, three, lo, hi, at, over, kind, np.concatenate([more, none]), np.concatenate([less, none])
 
 
-ROW = "rid long, one long, two long, lo int, hi int, at int, over int, kind int, shown boolean"
+_CELLS = ["lo", "hi", "at", "over", "kind", "more", "less"]
+ROW = f"rid long, one long, two long, three int, {', '.join(f'{c} int' for c in _CELLS)}, shown boolean"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _rows(rid, one, two, lo, hi, at, over, kind, shown) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rid), _signed(one), _signed(two), *(pa.array(x, pa.int32()) for x in (lo, hi, at, over, kind)), pa.array(shown)], ["rid", "one", "two", "lo", "hi", "at", "over", "kind", "shown"])
+def _rows(rid, one, two, three, *cells) -> pa.RecordBatch:
+    *cells, shown = cells
+    return pa.RecordBatch.from_arrays([pa.array(rid), _signed(one), _signed(two), pa.array(three), *(pa.array(x, pa.int32()) for x in cells), pa.array(shown)], ["rid", "one", "two", "three", *_CELLS, "shown"])
 
 
 def _positions(words: int | None):
@@ -174,31 +202,86 @@ def _positions(words: int | None):
     return run
 
 
-def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Round 2's rows for strings of SPAN bytes, from (rid, text, spans of lo, hi, at, what): STEP starts each, counted off from the anchor."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(rid, names, lo, hi, at, what) of each text with what is asked of it: strings of SPAN bytes start from lo to hi."""
     for batch in batches:
         for rid, text, spans in zip(*batch.columns, strict=True):
-            names = Names(np.frombuffer((text.as_py() or "").encode(), np.uint8))
-            lo, hi, at, what = (np.array([x[k] for x in spans.as_py()], np.int64) for k in ("lo", "hi", "at", "what"))
-            hi = np.minimum(hi, len(names.sums) - 1 - SPAN)  # strings of whole words start later too
-            free = at < 0
-            count = np.where(free, 1, (at - lo) // STEP - (at - hi) // STEP + 1)
-            row = np.repeat(np.arange(len(lo)), count)
-            k = np.arange(len(row)) - (np.cumsum(count) - count)[row] + ((at - hi) // STEP)[row]
-            top = at[row] - STEP * k
-            low, high = np.maximum(lo[row], top - STEP + 1), np.minimum(hi[row], top)
-            low, high, top = np.where(free[row], lo[row], low), np.where(free[row], hi[row], high), np.where(free[row], 0, top)
-            zero = np.uint64(0)
-            one = np.where(free[row], zero, names.of(top, np.where(free[row], 0, top - STEP + 1 + SPAN)))
-            two = np.where(free[row], zero, names.of(low, np.where(free[row], low, high + SPAN)))
-            yield _rows(np.full(len(row), rid.as_py(), np.int64), one, two, low, high, at[row], np.full(len(row), SPAN), np.full(len(row), BYTES), what[row] == SHOW)
+            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            lo, hi, at, what = (spans.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi", "at", "what"))
+            hi = np.minimum(hi, len(data) - SPAN)  # strings of whole words start later too
+            ok = lo <= hi
+            yield rid.as_py(), Names(data), lo[ok], hi[ok], at[ok], what[ok]
+
+
+PAIRS = "rid long, lo int, hi int, at int, what int, rounds int, rank long, next long, later long"
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is asked, by the distance of starts to their anchor in up to three rows, with the ranks that ``rounds`` rounds of doubling need."""
+    for rid, names, lo, hi, at, what in _asked(batches):
+        parts = [(lo, np.where(at < 0, hi, np.minimum(hi, at - MIDDLE)), 0), (np.maximum(lo, at - MIDDLE + 1), np.minimum(hi, at - DEEP), 1), (np.maximum(lo, at - DEEP + 1), hi, 2)]
+        for low, high, rounds in parts:
+            ok = (low <= high) & ((at >= 0) | (rounds == 0))
+            x, n = at[ok], int(ok.sum())
+            if not n:
+                continue
+            rank = next_ = later = np.zeros(n, np.uint64)
+            if rounds:
+                rank, next_ = names.rank(x, HEAD) + np.uint64(rounds), names.rank(x + HEAD, HEAD)
+            if rounds > 1:
+                later = names.rank(x + 2 * HEAD, 2 * HEAD)
+            ints = (low[ok], high[ok], x, what[ok], np.full(n, rounds))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), *(pa.array(c, pa.int32()) for c in ints), _signed(rank), _signed(next_), _signed(later)], [c.split()[0] for c in PAIRS.split(", ")])
+
+
+def _reranked(second: str):
+    """From rows sorted by (rank, second): those whose pair comes twice, or may do so across the task's edge, with the rank of the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, before = None, True  # a task's first row may go on a run of the task before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if carry is None else [carry, b])
+            rank, other = t.column("rank").to_numpy(), t.column(second).to_numpy()
+            same = (rank[1:] == rank[:-1]) & (other[1:] == other[:-1])
+            keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+            yield from out(t.slice(0, len(keep) - 1), keep[:-1])
+            carry, before = t.slice(len(keep) - 1).combine_chunks().to_batches()[0], bool(same[-1]) if len(same) else before
+        if carry is not None:
+            yield from out(pa.Table.from_batches([carry]), np.ones(1, bool))
+
+    def out(t: pa.Table, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = t.filter(pa.array(keep))
+        a, b = (t.column(c).to_numpy().view(np.uint64) for c in ("rank", second))
+        yield from t.set_column(t.schema.get_field_index("rank"), "rank", _signed(paired(a, b))).combine_chunks().to_batches()
+
+    return run
+
+
+def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of STEP starts each, counted off from the anchor, with the rank of the SPAN - STEP + 1 bytes that all their strings hold."""
+    for rid, names, lo, hi, at, what in _asked(batches):
+        free = at < 0
+        count = np.where(free, 1, (at - lo) // STEP - (at - hi) // STEP + 1)
+        row = np.repeat(np.arange(len(lo)), count)
+        k = np.arange(len(row)) - (np.cumsum(count) - count)[row] + ((at - hi) // STEP)[row]
+        top = at[row] - STEP * k
+        low, high = np.maximum(lo[row], top - STEP + 1), np.minimum(hi[row], top)
+        low, high = np.where(free[row], lo[row], low), np.where(free[row], hi[row], high)
+        one, two, three = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64), np.zeros(len(row), np.int32)
+        seen = np.flatnonzero(~free[row])
+        one[seen] = paired(names.rank(top[seen], 4 * HEAD), names.rank(top[seen] + SPAN - STEP + 1 - 4 * HEAD, 4 * HEAD))
+        two[seen], three[seen] = names.of(low[seen], high[seen] + SPAN), names.twin(low[seen], high[seen] + SPAN)
+        zero = np.zeros(len(row), np.int64)
+        yield _rows(np.full(len(row), rid, np.int64), one, two, three, low, high, at[row], zero + SPAN, zero + BYTES, zero, zero, what[row] == SHOW)
 
 
 DONE, ASK, SHOW = 0, 1, 2
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (one, two): what is left of each. DONE: all starts repeat; ASK: they go on to the next round;
+    """From rows sorted by (one, two, three): what is left of each. DONE: all starts repeat; ASK: they go on to the next round;
     SHOW: they go on for the sake of others.
 
     Whether a row has neighbours is seen from the rows beside it; the carry holds what lies open at a batch's end.
@@ -208,13 +291,13 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def ranked(t: pa.Table, closed: bool) -> pa.RecordBatch:
         """All rows of t; closed: nothing that belongs to its last run follows in this task, though it may in the next."""
-        one, two = t.column("one").to_numpy(), t.column("two").to_numpy()
+        one, two, three = (t.column(c).to_numpy() for c in ("one", "two", "three"))
         n = len(one)
         new_one = np.concatenate([[True], one[1:] != one[:-1]])
-        new_two = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        new_two = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (three[1:] != three[:-1])])
         run_one, run_two = np.cumsum(new_one) - 1, np.cumsum(new_two) - 1
         size_one, size_two = np.bincount(run_one)[run_one], np.bincount(run_two)[run_two]
-        kinds = np.bincount(run_one, new_two)[run_one]  # names of rank 2 under the name of rank 1
+        kinds = np.bincount(run_one, new_two)[run_one]  # names under the rank
         bare = (one == 0) & (two == 0)
         edge_one = np.zeros(n, bool)
         if at_start:
@@ -231,10 +314,10 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a row that stands for others and repeats is done itself, if it is not one of those shown from an earlier round
         keep = what >= 0
         done = (what == SHOW) & (size_two > 1) & ~bare & ~shown
-        cells = [t.column(c).to_numpy() for c in ("rid", "lo", "hi", "at", "over", "kind")]
+        cells = [t.column(c).to_numpy() for c in ("rid", *_CELLS)]
         cells = [np.concatenate([c[keep], c[done]]) for c in cells]
         kinds = np.concatenate([what[keep], np.full(int(done.sum()), DONE)])
-        return pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in (*cells[1:], kinds))], ["rid", "lo", "hi", "at", "over", "kind", "what"])
+        return pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in (*cells[1:], kinds))], ["rid", *_CELLS, "what"])
 
     for b in batches:
         t = pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])])
@@ -254,18 +337,26 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ranked(carry, True)
 
 
+STRINGS = "name long, twin int, rid long, start int, size int, whole boolean, show boolean"
+
+
+def _named(name, twin, rid, start, size, whole, show) -> pa.RecordBatch:
+    n = len(start)
+    cells = [_signed(name), pa.array(twin), pa.array(np.full(n, rid, np.int64)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(np.full(n, whole)), pa.array(show)]
+    return pa.RecordBatch.from_arrays(cells, [c.split()[0] for c in STRINGS.split(", ")])
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, rid, start, size, show) of single strings of SPAN bytes, from (rid, text, spans of lo, hi, what)."""
-    for batch in batches:
-        for rid, text, spans in zip(*batch.columns, strict=True):
-            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-            names = Names(data)
-            parts = spans.as_py()
-            start = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in parts])
-            show = np.concatenate([np.full(x["hi"] - x["lo"] + 1, x["what"] == SHOW) for x in parts])
-            for k in range(0, len(start), 1 << 18):
-                s = start[k : k + (1 << 18)]
-                yield _named(names.of(s, s + SPAN), rid.as_py(), s, np.full(len(s), SPAN), show[k : k + (1 << 18)])
+    """Single strings of SPAN bytes, named by their two overlapping ranks of 4 HEAD bytes and the twin of the whole."""
+    for rid, names, lo, hi, _, what in _asked(batches):
+        if not len(lo):
+            continue
+        start = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+        show = np.repeat(what == SHOW, hi - lo + 1)
+        for k in range(0, len(start), 1 << 18):
+            s = start[k : k + (1 << 18)]
+            name = paired(names.rank(s, 4 * HEAD), names.rank(s + SPAN - 4 * HEAD, 4 * HEAD))
+            yield _named(name, names.twin(s, s + SPAN), rid, s, np.full(len(s), SPAN), False, show[k : k + (1 << 18)])
 
 
 def _word_strings(words: int):
@@ -276,81 +367,105 @@ def _word_strings(words: int):
             for rid, text, spans in zip(*batch.columns, strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 start, end = word_strings(data, np.array([0, len(data)]), words)
-                parts = spans.as_py()
-                lo, hi, at, what = (np.array([x[k] for x in parts], np.int64) for k in ("lo", "hi", "at", "what"))
+                lo, hi, at, what = (spans.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi", "at", "what"))
                 first, last = np.searchsorted(start, lo), np.searchsorted(start, hi, "right")
                 row = np.repeat(np.arange(len(lo)), last - first)
                 k = np.arange(len(row)) - (np.cumsum(last - first) - (last - first))[row] + first[row]
                 mine = (at[row] < 0) | (end[k] >= at[row] + HEAD)  # others have no anchor, and a row of their own
                 k, row = k[mine], row[mine]
-                name = mix(Names(data).of(start[k], end[k]) + _SALT)
-                yield _named(name, rid.as_py(), start[k], end[k] - start[k], what[row] == SHOW)
+                names = Names(data)
+                yield _named(mix(names.of(start[k], end[k]) + _SALT), names.twin(start[k], end[k]), rid.as_py(), start[k], end[k] - start[k], True, what[row] == SHOW)
 
     return run
 
 
-def _named(name, rid, start, size, show) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_signed(name), pa.array(np.full(len(start), rid, np.int64)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(show)], ["name", "rid", "start", "size", "show"])
-
-
-LEFT = "rid long, lo int, hi int, at int, over int, kind int, what int"
+LEFT = f"rid long, {', '.join(f'{c} int' for c in _CELLS)}, what int"
 
 
 def repeated_starts(texts: DataFrame, words: int | None = None) -> DataFrame:
-    """(rid, lo, end): in the text of that rid, strings that also stand elsewhere cover the bytes from lo to end; strings of SPAN bytes and,
-    if ``words`` is given, of so many whole words.
+    """(rid, lo, end, whole): in the text of that rid, strings that also stand elsewhere cover the bytes from lo to end: strings of SPAN bytes
+    where ``whole`` is false; where it is true, strings of SPAN bytes and of ``words`` whole words together.
 
-    ``texts(rid, text)`` should be written in buckets by rid; rows with equal rids are equal texts.
+    ``texts(rid, text)`` should be written in buckets by rid, which tells all rows apart.
     """
     texts = texts.where(F.octet_length("text") >= (min(SPAN, 2 * words - 1) if words else SPAN)).select("rid", "text")
 
+    def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
     def ranked(rows: DataFrame) -> DataFrame:
-        order = ["one", "two", "rid", "lo"]
-        return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rank, LEFT), "ranked")
+        return written(ranged(rows, ["one", "two", "three", "rid", "lo"]).mapInArrow(_rank, LEFT), "ranked")
+
+    def doubled(rows: DataFrame, second: str) -> DataFrame:
+        return written(ranged(rows, ["rank", second, "rid"]).mapInArrow(_reranked(second), PAIRS), "reranked")
 
-    def asked(left: DataFrame, other: int) -> DataFrame:
+    def asked(left: DataFrame) -> DataFrame:
         """The texts that go on, with what is asked of them: at most a text's length."""
-        rows = left.where((F.col("what") != DONE) & (F.col("kind") != other))
-        spans = rows.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "at", "what")).alias("spans"))
-        return texts.join(spans, "rid").select("rid", "text", "spans")
-
-    first = ranked(written(texts.mapInArrow(_positions(words), ROW), "positions"))
-    second = ranked(written(asked(first, WHOLE).mapInArrow(_narrower, ROW), "narrower"))
-    columns = "name long, rid long, start int, size int, show boolean"
-    named = asked(second, WHOLE).mapInArrow(_strings, columns)
+        return texts.join(left.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "at", "what")).alias("spans")), "rid").select("rid", "text", "spans")
+
+    def ranked_once(rows: DataFrame) -> DataFrame:
+        out = ranked(rows)
+        discard(rows)
+        return out
+
+    first = ranked_once(written(texts.mapInArrow(_positions(words), ROW), "positions"))
+    open_ = first.where(F.col("what") != DONE)
+    pairs = written(asked(open_.where(F.col("kind") != WHOLE)).mapInArrow(_pairs, PAIRS), "pairs")
+    twice = doubled(pairs.where("rounds > 0"), "next")
+    four = doubled(twice.where("rounds > 1"), "later")
+    left = pairs.where("rounds = 0").unionByName(twice.where("rounds = 1")).unionByName(four)
+    second = ranked_once(written(asked(left).mapInArrow(_narrower, ROW), "narrower"))
+    discard(pairs, twice, four)
+    named = asked(second.where(F.col("what") != DONE)).mapInArrow(_strings, STRINGS)
     if words:
-        named = named.unionByName(asked(first, BYTES).mapInArrow(_word_strings(words), columns))
+        named = named.unionByName(asked(open_.where(F.col("kind") != BYTES)).mapInArrow(_word_strings(words), STRINGS))
     named = written(named, "strings")
-    twice = named.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    single = named.where(~F.col("show")).join(twice, "name").select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"))
-    done = first.unionByName(second).where(F.col("what") == DONE).select("rid", "lo", (F.col("hi") + F.col("over")).alias("end"))
-    return done.unionByName(single)
+    repeated = named.groupBy("name", "twin").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    single = named.where(~F.col("show")).join(repeated, ["name", "twin"]).select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"), "whole")
+    done = first.unionByName(second).where(F.col("what") == DONE)
+    of_bytes = done.where(F.col("kind") != WHOLE).select("rid", (F.col("lo") + F.col("more")).alias("lo"), (F.col("hi") - F.col("less") + SPAN).alias("end"), F.lit(False).alias("whole"))
+    out = of_bytes.unionByName(single)
+    return out.unionByName(done.where(F.col("kind") != BYTES).select("rid", "lo", (F.col("hi") + F.col("over")).alias("end"), F.lit(True).alias("whole"))) if words else out
+
+
+def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that ranges of bytes cover, in order."""
+    if not len(lo):
+        return lo, end
+    order = np.argsort(lo, kind="stable")
+    lo, top = lo[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], lo[1:] > top[:-1]])
+    return lo[new], top[np.append(np.flatnonzero(new)[1:] - 1, len(top) - 1)]
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple]]]:
+    """For each batch its ids, and of each row the bytes, and (lo, end, whole) of what covers them."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for batch in batches:
+        rows = []
+        for text, starts in zip(batch.column(1), batch.column(2), strict=True):
+            cells = none
+            if starts.is_valid:
+                cells = tuple(starts.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "end", "whole"))
+            rows.append(((text.as_py() or "").encode(), *cells))
+        yield batch.column(0), rows
+
+
+def _left(raw: bytes, lo: np.ndarray, end: np.ndarray) -> bytes:
+    return b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*lo.tolist(), len(raw)], strict=True))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "n_removed", "spans", "kept"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    for batch in batches:
-        rows: list[list] = [[] for _ in names]
-        for key, text, starts in zip(*batch.columns, strict=True):
-            raw, runs, parts, at = (text.as_py() or "").encode(), [], [], 0
-            if starts.is_valid:
-                lo, end = (np.asarray(starts.values.field(k)) for k in ("lo", "end"))
-                order = np.argsort(lo, kind="stable")
-                for a, b in zip(lo[order].tolist(), end[order].tolist(), strict=True):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-            for a, b in runs:
-                parts.append(raw[at:a])
-                at = b
-            parts.append(raw[at:])
-            cells = key.as_py(), len(raw), sum(b - a for a, b in runs), [{"start": a, "length": b - a} for a, b in runs], b"".join(parts)
-            for col, v in zip(rows, cells, strict=True):
+    for ids, rows in _found(batches):
+        out: list[list] = [[], [], [], []]
+        for raw, lo, end, _ in rows:
+            lo, end = merged(lo, end)
+            cells = len(raw), int((end - lo).sum()), [{"start": a, "length": n} for a, n in zip(lo.tolist(), (end - lo).tolist(), strict=True)], _left(raw, lo, end)
+            for col, v in zip(out, cells, strict=True):
                 col.append(v)
-        kinds = [batch.column(0).type, pa.int64(), pa.int64(), span, pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+        kinds = [pa.int64(), pa.int64(), span, pa.binary()]
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def without_repeats(df: DataFrame, id_col: str, text_col: str, finish=_cut, schema: str = "n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary", words: int | None = None) -> DataFrame:
@@ -358,23 +473,31 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str, finish=_cut, sche
     with ``words``, also without those that strings of so many whole words standing elsewhere cover.
 
     Matches never cross texts; strings are judged on the input. A null text is empty. Repeated rows are repeats of each
-    other. A cut may fall inside a character, so the rest is bytes. Other columns are dropped.
+    other, and each is a text of its own. A cut may fall inside a character, so the rest is bytes. Other columns are dropped.
     """
-    keyed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rid", row_key("id", "text"))
+    keyed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     keyed = written_by(keyed, "texts", max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rid")
-    starts = repeated_starts(keyed, words).groupBy("rid").agg(F.collect_list(F.struct("lo", "end")).alias("starts"))  # at most a text's length
+    starts = repeated_starts(keyed, words).groupBy("rid").agg(F.collect_list(F.struct("lo", "end", "whole")).alias("starts"))  # at most a text's length
     joined = keyed.join(starts, "rid", "left").select("id", "text", "starts")
     kind = df.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(finish, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _cut(batches):
-        spans = pa.array([len(x) for x in b.column(3).to_pylist()], pa.int64())
-        kept = pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column(4)], pa.string())
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], spans, kept], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    for ids, rows in _found(batches):
+        out: list[list] = [[], [], [], [], []]
+        for raw, lo, end, whole in rows:
+            every = merged(lo, end)
+            lo, end = merged(lo[~whole], end[~whole])
+            cells = len(raw), int((end - lo).sum()), len(lo), hashlib.sha256(_left(raw, lo, end)).hexdigest(), int((every[1] - every[0]).sum())
+            for col, v in zip(out, cells, strict=True):
+                col.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
 
-def cut_documents(documents: DataFrame) -> DataFrame:
-    """The contract's rows for ``documents(doc_id, text)``."""
-    return without_repeats(documents, "doc_id", "text", _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def cut_documents(documents: DataFrame, words: int = 51) -> DataFrame:
+    """The contract's rows for ``documents(doc_id, text)``, and n_passage_bytes: the bytes that those strings of SPAN bytes, or strings
+    of ``words`` whole words that also stand anywhere else, cover. These words have no part in the contract's columns."""
+    return without_repeats(documents, "doc_id", "text", _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long", words)
