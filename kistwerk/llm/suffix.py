@@ -420,7 +420,8 @@ def repeated_starts(texts: DataFrame, words: int | None = None) -> DataFrame:
     if words:
         named = named.unionByName(asked(open_.where(F.col("kind") != BYTES)).mapInArrow(_word_strings(words), STRINGS))
     named = written(named, "strings")
-    repeated = named.groupBy("name", "twin").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    # written, so that the join below reads two exchanges and adaptive execution can split a name that very many strings have
+    repeated = written(named.groupBy("name", "twin").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
     single = named.where(~F.col("show")).join(repeated, ["name", "twin"]).select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"), "whole")
     done = first.unionByName(second).where(F.col("what") == DONE)
     of_bytes = done.where(F.col("kind") != WHOLE).select("rid", (F.col("lo") + F.col("more")).alias("lo"), (F.col("hi") - F.col("less") + SPAN).alias("end"), F.lit(False).alias("whole"))
