@@ -114,6 +114,23 @@ def extract_stats(reports: DataFrame) -> DataFrame:
     )
 
 
+def model_stats(reports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Totals per container of its nodes, artifacts, warnings and errors; one that can't be opened has no nodes and one error."""
+    kind = lambda k: F.count_if(F.col("type") == k).cast("int")
+    tree = nodes.groupBy("path").agg(F.count("*").cast("int").alias("node_total"), kind("stream").alias("stream_total"), kind("storage").alias("storage_total"), F.max("depth").alias("max_depth"))
+    found = reports.select("path", F.size("artifacts").alias("artifact_total"), F.size("warnings").alias("warning_total"), F.col("error").isNotNull().cast("int").alias("error_total"))
+    return found.join(tree, "path", "left").na.fill(0, ["node_total", "stream_total", "storage_total", "max_depth"])
+
+
+def mutations(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, kind, node_path, size_before, size_after): what a transaction has done to a container, from its nodes before and after: create, delete or update."""
+    key = ["path", "node_path"]
+    b = before.select(*key, F.col("type").alias("t"), F.col("size").alias("size_before"))
+    a = after.select(*key, F.col("type").alias("u"), F.col("size").alias("size_after"))
+    kind = F.when(F.col("t").isNull(), "create").when(F.col("u").isNull(), "delete").when((F.col("u") == "stream") & (F.col("size_before") != F.col("size_after")), "update")
+    return b.join(a, key, "full_outer").withColumn("kind", kind).where("kind is not null").select("path", "kind", "node_path", "size_before", "size_after")
+
+
 def _node_rows(path: str, content: bytes | None, strict: bool, limits: Limits) -> Iterator[dict]:
     try:
         c = Container(content or b"", strict, limits)
@@ -389,3 +406,8 @@ def ole_native_build(file_name: pd.Series, source_path: pd.Series, payload: pd.S
         return len(body).to_bytes(4, "little") + body
 
     return pd.Series([None if d is None else one(n, s, _raw(d)) for n, s, d in zip(file_name, source_path, payload, strict=True)], dtype=object)
+
+
+def put_properties(node_path: Column, format_id: Column, props: Column) -> Column:
+    """The operation for cfb_apply that puts a property stream with one set, array<struct<pid, vt, value_string, value_long>>, at the path."""
+    return F.struct(F.lit("put").alias("op"), node_path.alias("path"), F.lit("").alias("new_path"), ole_properties_marshal(format_id, props).alias("data"))

@@ -153,3 +153,10 @@ def write(artifacts: DataFrame, path: str, overwrite: bool = False, atomic: bool
     artifacts.sparkSession.dataSource.register(ArtifactDir)
     out = planned(artifacts, tree, prefer_file_name, by_container).write.format("artifact_dir").mode("append").option("path", path)
     out.option("overwrite", str(overwrite).lower()).option("atomic", str(atomic).lower()).option("manifest", str(manifest).lower()).option("manifestName", manifest_file).save()
+
+
+def write_files(files: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Puts ``files(relative_path, raw)`` below the path by the same two phases, without a manifest; a row without bytes gives no file."""
+    files.sparkSession.dataSource.register(ArtifactDir)
+    rows = files.select(F.col("relative_path").alias("container"), F.lit(0).alias("seq"), "relative_path", "raw")
+    rows.write.format("artifact_dir").mode("append").option("path", path).option("manifest", "false").option("overwrite", str(overwrite).lower()).save()

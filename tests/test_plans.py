@@ -13,7 +13,7 @@ from kistwerk.formats.paths import Problem
 from kistwerk.formats.writer import build
 from kistwerk.functions.globs import glob_regex
 from kistwerk.operators import containers as C
-from kistwerk.plans import queries, registry  # noqa: F401
+from kistwerk.plans import queries, queries_reports, registry  # noqa: F401
 from kistwerk.plans import replay as R
 from kistwerk.plans.options import OptionError, ReplayOptions
 from kistwerk.plans.report import GateError, replay
