@@ -337,13 +337,29 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ranked(carry, True)
 
 
-STRINGS = "name long, twin int, rid long, start int, size int, whole boolean, show boolean"
+STRINGS = "name long, twin int, rid long, start int, size int, whole boolean, show boolean, known boolean"
 
 
 def _named(name, twin, rid, start, size, whole, show) -> pa.RecordBatch:
-    n = len(start)
-    cells = [_signed(name), pa.array(twin), pa.array(np.full(n, rid, np.int64)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(np.full(n, whole)), pa.array(show)]
-    return pa.RecordBatch.from_arrays(cells, [c.split()[0] for c in STRINGS.split(", ")])
+    """Strings of one text. What comes twice among them is settled here: one row stands for it, and rows without a name (known) say what its places cover.
+
+    So a text that repeats a few bytes over and over gives as many rows as it has different strings.
+    """
+    order = np.lexsort((start, twin, name))
+    name, twin, start, size, show = (x[order] for x in (name, twin, start, size, show))
+    new = np.ones(len(start), bool)
+    new[1:] = (name[1:] != name[:-1]) | (twin[1:] != twin[:-1])
+    run = np.cumsum(new) - 1
+    many = (np.bincount(run) > 1)[run] if len(run) else new
+    lo, end = merged(start[many & ~show], (start + size)[many & ~show])
+    kept, n = new, len(lo)
+    zero = np.zeros(n, np.int64)
+    cells = [
+        _signed(np.concatenate([name[kept], zero.astype(np.uint64)])), pa.array(np.concatenate([twin[kept], zero.astype(np.int32)])), np.full(int(kept.sum()) + n, rid),
+        pa.array(np.concatenate([start[kept], lo]), pa.int32()), pa.array(np.concatenate([size[kept], end - lo]), pa.int32()), np.full(int(kept.sum()) + n, whole),
+        np.concatenate([(show | many)[kept], zero > 0]), np.concatenate([np.zeros(int(kept.sum()), bool), zero == 0]),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cells], [c.split()[0] for c in STRINGS.split(", ")])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,8 +437,9 @@ def repeated_starts(texts: DataFrame, words: int | None = None) -> DataFrame:
         named = named.unionByName(asked(open_.where(F.col("kind") != BYTES)).mapInArrow(_word_strings(words), STRINGS))
     named = written(named, "strings")
     # written, so that the join below reads two exchanges and adaptive execution can split a name that very many strings have
-    repeated = written(named.groupBy("name", "twin").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
-    single = named.where(~F.col("show")).join(repeated, ["name", "twin"]).select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"), "whole")
+    repeated = written(named.where(~F.col("known")).groupBy("name", "twin").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
+    met = named.where(~F.col("show") & ~F.col("known")).join(repeated, ["name", "twin"])
+    single = met.unionByName(named.where("known")).select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"), "whole")
     done = first.unionByName(second).where(F.col("what") == DONE)
     of_bytes = done.where(F.col("kind") != WHOLE).select("rid", (F.col("lo") + F.col("more")).alias("lo"), (F.col("hi") - F.col("less") + SPAN).alias("end"), F.lit(False).alias("whole"))
     out = of_bytes.unionByName(single)

@@ -146,7 +146,7 @@ def test_suffix(spark, seed):
     texts = corpus(seed)
     shared = sentence(rng, 300)
     texts += [shared[a : a + n] + sentence(rng, 60) for a, n in ((0, 400), (0, 399), (100, 900), (501, 450), (502, 450))]
-    texts += ["q" * 401 + sentence(rng, 30), "r" * 1000, shared * 2]
+    texts += ["q" * 401 + sentence(rng, 30), "r" * 1000, shared * 2, "na " * 700, "x" + "na " * 140, "ab" * 199 + "c", "r" * 400 + "s"]
     got = {r.doc_id: r for r in suffix.cut_documents(frame(spark, texts, False)).collect()}
     for i, want in enumerate(brute_cut(texts)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
