@@ -60,23 +60,28 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs from ``conversations(conv_id, turn, role, text)``: conversation 2k is chosen; rejected is 2k with its
-    last assistant turn, and what follows, replaced by the last assistant turn of 2k + 1 and what follows that.
+    """Pairs from ``conversations(conv_id, turn, role, text)``, one for each conversation, which is chosen; pair_id is its conv_id.
+
+    Its neighbour is 2k + 1 for 2k and 2k for 2k + 1. Rejected is the conversation with its last assistant turn, and
+    what follows, replaced by the last assistant turn of the neighbour and what follows that. So each turn of the
+    table is rendered in the pair of its own conversation.
 
     Turns stand in the order of turn, role and text (nulls first). Rows without conv_id belong to no
-    conversation. A pair needs conversation 2k; without 2k + 1, or without an assistant turn there, the
-    rejected conversation ends before the replaced turn. One record holds a conversation, as it must to be
-    rendered; pairs are grouped with a map-side part and no key joins two pairs.
+    conversation. Without a neighbour, or without an assistant turn there, the rejected conversation ends before
+    the replaced turn; one without an assistant turn is followed by the neighbour's. One record holds two
+    neighbours, as it must to render them; no key joins more.
     """
     rows = conversations.where(F.col("conv_id").isNotNull()).select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
-        (F.pmod("conv_id", F.lit(2)) == 0).alias("first"),
+        F.shiftright(F.col("conv_id").cast("long"), 1).alias("k"),
+        (F.col("conv_id").cast("long").bitwiseAND(F.lit(1)) == 0).alias("even"),
         F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
-    sides = rows.groupBy("pair_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("first"), F.col("t")))).alias("a"),
-        F.array_sort(F.collect_list(F.when(~F.col("first"), F.col("t")))).alias("b"),
-    ).where(F.size("a") > 0)
+    sides = rows.groupBy("k").agg(
+        F.array_sort(F.collect_list(F.when(F.col("even"), F.col("t")))).alias("x"),
+        F.array_sort(F.collect_list(F.when(~F.col("even"), F.col("t")))).alias("y"),
+    )
+    way = lambda pair_id, a, b: F.struct(pair_id.alias("pair_id"), F.col(a).alias("a"), F.col(b).alias("b"))
+    sides = sides.select(F.inline(F.array(way(F.col("k") * 2, "x", "y"), way(F.col("k") * 2 + 1, "y", "x")))).where(F.size("a") > 0)
     bare = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     last = lambda c: F.coalesce(F.array_max(F.filter(F.transform(c, lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())), F.lit(0))
     keep = F.when(last("a") > 0, last("a") - 1).otherwise(F.size("a"))

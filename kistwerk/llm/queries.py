@@ -76,9 +76,12 @@ QUERIES = {
 }
 
 OP3_SQL = """
-with r as (
-  select conv_id // 2 as pair_id, conv_id % 2 = 0 as first, turn, coalesce(role, '') as role, coalesce(text, '') as text
-  from conversations where conv_id is not null),
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+r as (
+  select conv_id as pair_id, true as first, turn, role, text from t
+  union all
+  select conv_id + 1 - 2 * (conv_id % 2), false, turn, role, text from t),
 o as (select *, row_number() over (partition by pair_id, first order by turn nulls first, role, text) as pos from r),
 s as (
   select pair_id, max(pos) filter (where first and role = 'assistant') as la, max(pos) filter (where first) as na,

@@ -93,7 +93,17 @@ def test_pairs_against_brute_force(spark):
 def test_neighbour_pairs(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "p"), (1, 1, "assistant", "bad"), (1, 2, "user", "more"), (2, 0, "user", "alone"), (3, 0, "user", "no answer"), (5, 0, "user", "lost"), (None, 0, "user", "none"), (0, 1, "assistant", "good")]
     pairs = {r.pair_id: r for r in neighbour_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(pairs) == {0, 1}
+    assert set(pairs) == {0, 1, 2, 3, 5}
     assert [t.text for t in pairs[0].chosen] == ["q", "good", "good"] and [t.text for t in pairs[0].rejected] == ["q", "good", "bad", "more"]
-    assert [t.text for t in pairs[1].rejected] == ["alone"]
+    assert [t.text for t in pairs[1].chosen] == ["p", "bad", "more"] and [t.text for t in pairs[1].rejected] == ["p", "good"]
+    assert [t.text for t in pairs[2].rejected] == ["alone"] and [t.text for t in pairs[3].rejected] == ["no answer"]
+    assert [t.text for t in pairs[5].chosen] == ["lost"] and [t.text for t in pairs[5].rejected] == ["lost"]
     assert preference_documents(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_every_turn_is_rendered_in_its_own_pair(spark):
+    """Odd conversations, and those without a neighbour, are whole in the prompt and chosen text of their pair."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"c{c} t{t}") for c in (0, 1, 2, 5, 8, 9) for t in range(c % 4 + 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r.prompt + r.chosen for r in format_pairs(neighbour_pairs(df)).collect()}
+    assert got == {c: render([(r, x) for i, _, r, x in rows if i == c]) for c in (0, 1, 2, 5, 8, 9)}
