@@ -1,14 +1,17 @@
 """Containers as relations: one Arrow pass over ``containers(path, content)`` per operator.
 
 A container is parsed and its extraction folded within one row, since dedup, quotas and nesting depend on the order of the visit;
-containers are independent and spread over all tasks. Nothing here shuffles except ``build``, which gathers the streams of
-a container.
+containers are independent and spread over all tasks. Nothing here shuffles except ``gather`` and ``gathered``, which bring the streams of
+a container together: as one record, or as a file of the task.
 """
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 import time
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +25,7 @@ from kistwerk.formats import properties as P
 from kistwerk.formats.container import Container, Limits, read_header
 from kistwerk.formats.extract import Options, extract
 from kistwerk.formats.paths import Problem
-from kistwerk.formats.writer import Draft, apply, build, commit
+from kistwerk.formats.writer import Draft, apply, build, build_file, commit
 
 from . import schema as S
 
@@ -35,25 +38,58 @@ def flat_map(df: DataFrame, columns: list[str], rows_of: Callable[..., Iterator[
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for cells in zip(*b.columns, strict=True):
-                values = [c.as_py() for c in cells]
-                for row in rows_of(*values):
-                    held.append(row)
-                    if len(held) >= BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(held, schema=schema)
-                        held, size = [], 0
-                size += sum(len(v) for v in values if isinstance(v, bytes))
-                if held and size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
+        return _batched(((values, rows_of(*values)) for values in _cells(batches)), schema)
 
     return df.select(*columns).mapInArrow(run, ddl)
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    for b in batches:
+        for cells in zip(*b.columns, strict=True):
+            yield [c.as_py() for c in cells]
+
+
+def _batched(results: Iterator[tuple[list, Iterator[dict]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of result rows, from each input's values and rows."""
+    held, size = [], 0
+    for values, rows in results:
+        for row in rows:
+            held.append(row)
+            if len(held) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held, size = [], 0
+        size += sum(len(v) for v in values if isinstance(v, bytes))
+        if held and size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def gathered(streams: DataFrame, rows_of: Callable[..., Iterator[dict]], ddl: str, by: str = "path", stream_path: str = "stream_path", data: str = "data") -> DataFrame:
+    """rows_of(path, content) over the containers that ``gather`` gives, none of which has to be one record: the streams of a container come in
+    order into one task, which writes them to a file on its own disk and hands on a map of that. Memory holds a container's directory alone."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched((([], _rows_of_file(path, streams, rows_of)) for path, streams in groupby(_cells(batches), lambda cells: cells[0])), schema)
+
+    cells = streams.select(F.col(by).alias("path"), F.col(stream_path).alias("stream_path"), F.col(data).alias("data"))
+    return cells.repartition("path").sortWithinPartitions("path", "stream_path", "data").mapInArrow(run, ddl)
+
+
+def _rows_of_file(path: str | None, streams: Iterator[list], rows_of: Callable[..., Iterator[dict]]) -> Iterator[dict]:
+    with tempfile.TemporaryFile() as file:
+        try:
+            with tempfile.TemporaryFile() as spool:
+                build_file(((p, d) for _, p, d in streams), file, spool)
+            file.flush()
+            content = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)  # closed with the last view of it
+        except Problem:  # as cfb_build: null where a path is invalid
+            content = None
+        yield from rows_of(path, content)
+
+
 def _warning(k: int, p: Problem) -> dict:
     return {"seq": k, "code": p.code, "message": p.message, "node_path": p.path, "offset": p.offset, "op": p.op, "severity": "warning"}
 
@@ -114,12 +150,28 @@ def extract_stats(reports: DataFrame) -> DataFrame:
     )
 
 
-def model_stats(reports: DataFrame, nodes: DataFrame) -> DataFrame:
+def _stats_row(path: str, content: bytes | None, options: Options) -> dict:
+    row = dict.fromkeys(("artifact_total", "warning_total", "error_total", "node_total", "stream_total", "storage_total", "max_depth"), 0) | {"path": path}
+    for n in _node_rows(path, content, False, Limits()):
+        row["node_total"] += 1
+        row["stream_total"] += n["type"] == "stream"
+        row["storage_total"] += n["type"] == "storage"
+        row["max_depth"] = max(row["max_depth"], n["depth"])
+    try:
+        r = extract(content, options)
+    except Problem:
+        return row | {"error_total": 1}
+    return row | {"artifact_total": len(r.artifacts), "warning_total": len(r.warnings)}
+
+
+def model_stats(containers: DataFrame, options: Options = Options()) -> DataFrame:
     """Totals per container of its nodes, artifacts, warnings and errors; one that can't be opened has no nodes and one error."""
-    kind = lambda k: F.count_if(F.col("type") == k).cast("int")
-    tree = nodes.groupBy("path").agg(F.count("*").cast("int").alias("node_total"), kind("stream").alias("stream_total"), kind("storage").alias("storage_total"), F.max("depth").alias("max_depth"))
-    found = reports.select("path", F.size("artifacts").alias("artifact_total"), F.size("warnings").alias("warning_total"), F.col("error").isNotNull().cast("int").alias("error_total"))
-    return found.join(tree, "path", "left").na.fill(0, ["node_total", "stream_total", "storage_total", "max_depth"])
+    return flat_map(containers, ["path", "content"], lambda path, content: iter([_stats_row(path, content, options)]), S.STATS)
+
+
+def gathered_model_stats(streams: DataFrame, options: Options = Options()) -> DataFrame:
+    """model_stats of the containers that the streams make up, by ``gathered``."""
+    return gathered(streams, lambda path, content: iter([_stats_row(path, content, options)]), S.STATS)
 
 
 def mutations(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -150,6 +202,11 @@ def nodes(containers: DataFrame, strict: bool = False, limits: Limits = Limits()
     return flat_map(containers, ["path", "content"], lambda path, content: _node_rows(path, content, strict, limits), S.NODES)
 
 
+def gathered_nodes(streams: DataFrame, strict: bool = False, limits: Limits = Limits()) -> DataFrame:
+    """All nodes of the containers that the streams make up, by ``gathered``."""
+    return gathered(streams, lambda path, content: _node_rows(path, content, strict, limits), S.NODES)
+
+
 def walk(nodes: DataFrame, breadth_first: bool = False, max_depth: int = 0, include_root: bool = True) -> DataFrame:
     """Walk events; their index counts the nodes that the filters leave out as well."""
     keep = F.lit(True)

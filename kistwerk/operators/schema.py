@@ -14,6 +14,7 @@ NODES = (
     "path string, node_id bigint, type string, node_path string, name string, parent_id bigint, size bigint, clsid binary, state_bits bigint, "
     "created_at bigint, modified_at bigint, child_count int, depth int, dfs_index int, bfs_index int"
 )
+STATS = "path string, artifact_total int, warning_total int, error_total int, node_total int, stream_total int, storage_total int, max_depth int"
 PROPERTIES = (
     "path string, stream_path string, set_index int, format_id string, pid bigint, vt int, value_string string, value_long bigint, value_ulong decimal(20,0), "
     "value_bool boolean, value_ts timestamp, value_filetime decimal(20,0), value_bytes binary, raw binary, error string"

@@ -36,11 +36,14 @@ def doc_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(_doc_path().alias("path"), C.cfb_build(_one("/Docs/A", F.encode("text", "UTF-8"))).alias("content"))
 
 
-def source_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A container for each source, its documents in /lang/doc_id."""
+def source_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of a container for each source, its documents in /lang/doc_id."""
     docs = _table(spark, sf_dir, "documents")
-    streams = docs.select(F.col("source").alias("path"), F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("stream_path"), F.encode("text", "UTF-8").alias("data"))
-    return C.gather(streams)
+    return docs.select(F.col("source").alias("path"), F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("stream_path"), F.encode("text", "UTF-8").alias("data"))
+
+
+def source_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.gather(source_streams(spark, sf_dir))
 
 
 def bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,8 +244,9 @@ def find_nodes(spark, sf_dir):
     union all select 'bad/' || item_id || '.cfb', 0, 0, 0, 0, 0, 1, 0 from benchmark""",
 )
 def model_stats(spark, sf_dir):
-    made = Q.source_containers(spark, sf_dir).select("path", "content").unionByName(Q.bad_files(spark, sf_dir).where("path like 'bad/%'"))
-    return C.model_stats(C.extract_reports(made, Options(deduplicate=False, **Q.UNLIMITED)), C.nodes(made))
+    options = Options(deduplicate=False, **Q.UNLIMITED)
+    bad = Q.bad_files(spark, sf_dir).where("path like 'bad/%'")
+    return C.gathered_model_stats(Q.source_streams(spark, sf_dir), options).unionByName(C.model_stats(bad, options))
 
 
 @query(

@@ -1,7 +1,12 @@
 """What only shows on payloads, containers or corpora beyond the sizes of the small tables."""
 
+import pytest
+
+from kistwerk.formats.container import Container
 from kistwerk.formats.extract import HEAD, Options, extract
-from kistwerk.formats.writer import build
+from kistwerk.formats.writer import build, build_file
+from kistwerk.operators import containers as C
+from kistwerk.plans import queries, queries_reports, registry  # noqa: F401
 
 
 def native(name: str, payload: bytes) -> bytes:
@@ -16,3 +21,58 @@ def test_names_of_a_native_object_longer_than_the_head():
         assert (inner.ole_file_name, inner.size) == ("a.txt", n)
     (broken,) = extract(build([("/\x01Ole10Native", b"\x01" * 2 * HEAD)]), Options()).artifacts
     assert (broken.ole_file_name, broken.note) == ("", "oleds:ole10native")
+
+
+def streams(spark, most: int = 9000):
+    """Streams of two containers, one of them with 300 streams, some in the mini stream, some with one path twice, and of one that can't be built."""
+    rows = [("a", f"/x/{k}", bytes([k % 251]) * (k * 37 % most)) for k in range(300)] + [("a", "/X/7", b"last"), ("a", "/y/z/1", None), ("b", "/1", b"b" * 5000), ("c", "no path", b"c"), (None, "/1", b"n")]
+    return spark.createDataFrame(rows, "path string, stream_path string, data binary").repartition(3)
+
+
+def test_file_is_as_build(tmp_path):
+    for sizes in ((), (0,), (1, 4095, 4096, 70000), tuple(range(0, 9000, 37))):
+        for version in (3, 4):
+            pairs = [(f"/S{k % 3}/{k}", bytes([k % 256]) * n) for k, n in enumerate(sizes)]
+            with open(tmp_path / "file", "w+b") as out, open(tmp_path / "spool", "w+b") as spool:
+                build_file(pairs, out, spool, version)
+            assert (tmp_path / "file").read_bytes() == build(pairs, version)
+
+
+def test_streams_out_of_order_and_mini_stream_in_pieces():
+    raw = bytearray(build([(f"/{k}", bytes([k]) * 4000) for k in range(1, 5)]))
+    c = Container(bytes(raw))
+    assert isinstance(c.mini, memoryview)
+    first, size = c.entries[0].start, 512
+    a, b = first + 1, first + 3  # two sectors of the mini stream change places
+    fat_at = (c.header.difat[0] + 1) * size
+    for at, to in ((first, b), (b, first + 2), (first + 2, a), (a, first + 4)):
+        raw[fat_at + 4 * at : fat_at + 4 * at + 4] = to.to_bytes(4, "little")
+    swapped = raw[(a + 1) * size : (a + 2) * size], raw[(b + 1) * size : (b + 2) * size]
+    raw[(b + 1) * size : (b + 2) * size], raw[(a + 1) * size : (a + 2) * size] = swapped
+    d = Container(bytes(raw))
+    assert isinstance(d.mini, bytes) and [d.read(f"/{k}") for k in range(1, 5)] == [bytes([k]) * 4000 for k in range(1, 5)]
+    cut = Container(bytes(raw[: (first + 3) * size]))
+    assert cut.partial
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_gathered_is_as_gather(spark):
+    made = C.gather(streams(spark))
+    assert rows(C.gathered_nodes(streams(spark))) == rows(C.nodes(made))
+    options = Options(deduplicate=False)
+    stats = rows(C.gathered_model_stats(streams(spark), options))
+    assert stats == rows(C.model_stats(made, options)) and [s for s in stats if s[0] == "c"] == [("c", 0, 0, 1, 0, 0, 0, 0)]
+    assert [s for s in stats if s[0] == "a"] == [("a", 301, 0, 0, 305, 301, 3, 3)]
+
+
+@pytest.mark.parametrize("name", ["model_stats"])
+def test_no_record_holds_a_container(spark, name):
+    """The containers of the sources were lists of all their streams, collected in one record."""
+    assert "collect_list" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
