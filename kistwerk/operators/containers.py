@@ -228,8 +228,12 @@ def node_by_path(nodes: DataFrame, node_path: str) -> DataFrame:
 
 
 def child_counts(nodes: DataFrame) -> DataFrame:
-    """Direct children per node, counted from the parents' side."""
-    return nodes.where("node_id <> 0").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.count("*").cast("int").alias("children"))
+    """Direct children per node that has any, counted from the parents' side: each node counts once for its parent, and one that may have children tells its path, so the nodes are read once."""
+    itself = F.struct("node_id", "node_path", F.lit(0).alias("child"))
+    parent = F.struct(F.col("parent_id").alias("node_id"), F.lit(None).cast("string").alias("node_path"), F.lit(1).alias("child"))
+    tells = F.when(F.col("node_id") == 0, F.array(itself)).when(F.col("type") == "stream", F.array(parent)).otherwise(F.array(itself, parent))
+    sides = nodes.select("path", F.explode(tells).alias("n")).select("path", "n.*")
+    return sides.groupBy("path", "node_id").agg(F.max("node_path").alias("node_path"), F.sum("child").cast("int").alias("children")).where("children > 0")
 
 
 def subtree(nodes: DataFrame, node_path: str) -> DataFrame:

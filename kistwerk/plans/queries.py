@@ -152,8 +152,7 @@ def walk_result(spark, sf_dir):
 
 @query("child_counts", f"select path, node_path, cast(children as integer) as children from ({_TREE}) where children > 0")
 def child_counts(spark, sf_dir):
-    nodes = C.nodes(source_containers(spark, sf_dir))
-    return C.child_counts(nodes).join(nodes.select("path", "node_id", "node_path"), ["path", "node_id"]).select("path", "node_path", "children")
+    return C.child_counts(C.gathered_nodes(source_streams(spark, sf_dir))).select("path", "node_path", "children")
 
 
 @query("subtree", f"select path, node_path from ({_TREE}) where node_path = '/de' or node_path like '/de/%'")

@@ -72,7 +72,12 @@ def test_gathered_is_as_gather(spark):
     assert [s for s in stats if s[0] == "a"] == [("a", 301, 0, 0, 305, 301, 3, 3)]
 
 
-@pytest.mark.parametrize("name", ["model_stats"])
+def test_child_counts(spark):
+    got = rows(C.child_counts(C.gathered_nodes(streams(spark))).select("path", "node_path", "children"))
+    assert got == sorted([("a", "/", 2), ("a", "/X", 300), ("a", "/y", 1), ("a", "/y/z", 1), ("b", "/", 1), (None, "/", 1)], key=str)
+
+
+@pytest.mark.parametrize("name", ["model_stats", "child_counts"])
 def test_no_record_holds_a_container(spark, name):
     """The containers of the sources were lists of all their streams, collected in one record."""
     assert "collect_list" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
