@@ -231,7 +231,7 @@ _HITS = f"select path, node_path from ({Q._TREE}) where type = 'stream' and node
 @query("find_nodes", f"select path, node_path from ({_HITS}) where path || '!' || node_path > (select path || '!' || node_path from ({_HITS}) order by path || '!' || node_path limit 1 offset 4) order by path || '!' || node_path limit 20")
 def find_nodes(spark, sf_dir):
     """The second page of a search, behind the cursor that the first one ended with."""
-    nodes = C.nodes(Q.source_containers(spark, sf_dir))
+    nodes = C.gathered_nodes(Q.source_streams(spark, sf_dir))
     search = dict(prefix="/en/", name_like="%1%", kind="stream")
     last = C.find_nodes(nodes, **search, limit=5).collect()[-1]
     return C.find_nodes(nodes, **search, limit=20, after=f"{last.path}!{last.node_path}").select("path", "node_path")

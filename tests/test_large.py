@@ -77,7 +77,7 @@ def test_child_counts(spark):
     assert got == sorted([("a", "/", 2), ("a", "/X", 300), ("a", "/y", 1), ("a", "/y/z", 1), ("b", "/", 1), (None, "/", 1)], key=str)
 
 
-@pytest.mark.parametrize("name", ["model_stats", "child_counts"])
+@pytest.mark.parametrize("name", ["model_stats", "child_counts", "find_nodes"])
 def test_no_record_holds_a_container(spark, name):
     """The containers of the sources were lists of all their streams, collected in one record."""
     assert "collect_list" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
