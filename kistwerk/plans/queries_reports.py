@@ -206,7 +206,7 @@ def manifest_files(spark, sf_dir):
     out = _folder(spark)
     artifacts = C.artifacts(C.extract_reports(Q.doc_containers(spark, sf_dir), Options(include_raw=True)))
     artifact_dir.write(artifacts, out, tree=True, by_container=True)
-    files = spark.read.option("multiLine", True).json(f"file://{out}/manifest.json").select(F.explode("files").alias("f")).select("f.*")
+    files = artifact_dir.manifest_files(spark, f"{out}/manifest.json")
     below = F.substring_index("relative_path", "/", 1)
     inside = F.substring(F.col("relative_path"), F.length(below) + 2, F.length("relative_path"))
     return files.select(inside.alias("relative_path"), "artifact_path", F.regexp_replace(below, "_", "/").alias("container"), F.col("size").cast("bigint").alias("size"))

@@ -1,12 +1,19 @@
 """What only shows on payloads, containers or corpora beyond the sizes of the small tables."""
 
+import json
+import os
+import pickle
+
 import pytest
+from pyspark.sql import Row
 
 from kistwerk.formats.container import Container
 from kistwerk.formats.extract import HEAD, Options, extract
+from kistwerk.formats.paths import Problem
 from kistwerk.formats.writer import build, build_file
 from kistwerk.operators import containers as C
 from kistwerk.plans import queries, queries_reports, registry  # noqa: F401
+from kistwerk.sources import artifact_dir
 
 
 def native(name: str, payload: bytes) -> bytes:
@@ -81,3 +88,60 @@ def test_child_counts(spark):
 def test_no_record_holds_a_container(spark, name):
     """The containers of the sources were lists of all their streams, collected in one record."""
     assert "collect_list" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def sink_rows(n: int, at: int = 0):
+    for k in range(at, at + n):
+        yield Row(container=f"c{k % 7}", seq=k, id=f"i{k}", artifact_path="/A", kind="stream", status="ok", sha256="", ole_file_name='é"\n', ole_source_path="", ole_temp_path=None, relative_path=f"d{k % 3}/{k}", raw=b"x" * (k % 5))
+
+
+def test_commit_holds_no_listing(tmp_path, monkeypatch):
+    """A task's message named each artifact, and the commit held all of them."""
+    monkeypatch.setattr(artifact_dir, "RUN_ROWS", 10)
+    monkeypatch.setattr(artifact_dir, "OPEN_RUNS", 3)
+    w = artifact_dir._Writer({"path": str(tmp_path / "out")})
+    messages = [w.write(sink_rows(95, 95 * t)) for t in range(4)]
+    monkeypatch.setattr(artifact_dir, "RUN_ROWS", 5000)
+    messages.append(w.write(sink_rows(1000, 380)))
+    assert len(pickle.dumps(messages[-1])) < 1000 and w.write(iter([])).rows == []
+    w.commit([*messages, None])
+    text = (tmp_path / "out/manifest.json").read_text()
+    listed = json.loads(text)
+    assert text == json.dumps(listed, indent=2) and os.listdir(tmp_path) == ["out"]
+    want = sorted((r for r in sink_rows(1380)), key=lambda r: (r.container, r.seq))
+    assert [a["id"] for a in listed["artifacts"]] == [r.id for r in want] and listed["skipped"] == 276 and listed["files_written"] == 1104
+    assert [f["artifact_id"] for f in listed["files"]] == [r.id for r in want if r.raw] and listed["bytes_written"] == sum(len(r.raw) for r in want)
+    assert all(os.path.getsize(f["file_path"]) == f["size"] for f in listed["files"])
+    assert listed["artifacts"][0] == {"id": "i0", "path": "/A", "kind": "stream", "status": "ok", "size": 0, "ole_file_name": 'é"\n', "has_raw": False}
+    assert list(artifact_dir._listed_files(str(tmp_path / "out/manifest.json"))) == listed["files"]
+
+
+def test_commit_finds_equal_names_and_puts_back(tmp_path, monkeypatch):
+    monkeypatch.setattr(artifact_dir, "RUN_ROWS", 2)
+    out = tmp_path / "out"
+    w = artifact_dir._Writer({"path": str(out)})
+    with pytest.raises(Problem, match="one file name"):
+        w.commit([w.write(sink_rows(5)), w.write(sink_rows(5))])
+    assert not os.listdir(tmp_path)
+    w.commit([w.write(sink_rows(9))])
+    before = {p: p.read_bytes() for p in out.rglob("*") if p.is_file()}
+    w = artifact_dir._Writer({"path": str(out)})
+    with pytest.raises(Problem, match="exists"):
+        w.commit([w.write(sink_rows(9))])
+    w = artifact_dir._Writer({"path": str(out), "overwrite": "true"})
+    with monkeypatch.context() as m:
+        m.setattr(w, "_write_manifest", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            w.commit([w.write(Row(**{**r.asDict(), "raw": b"new"}) for r in sink_rows(12))])
+    assert {p: p.read_bytes() for p in out.rglob("*") if p.is_file()} == before and os.listdir(tmp_path) == ["out"]
+
+
+def test_manifest_is_read_item_by_item(spark, tmp_path):
+    files = [{"artifact_id": f"i{k}", "artifact_path": "/A", "relative_path": f"{k}", "file_path": "é" * 300, "size": k} for k in range(2000)]
+    for n, indent in ((0, 2), (1, None), (2000, 2), (2000, None)):
+        (tmp_path / "m").write_text(json.dumps({"files_written": n, "files": files[:n], "artifacts": [{}]}, indent=indent))
+        assert list(artifact_dir._listed_files(str(tmp_path / "m"))) == files[:n]
+    assert [r.asDict() for r in artifact_dir.manifest_files(spark, str(tmp_path / "m")).collect()] == files
+    (tmp_path / "m").write_text('{"files": [{"size": 1}')
+    with pytest.raises(ValueError):
+        list(artifact_dir._listed_files(str(tmp_path / "m")))
