@@ -515,7 +515,7 @@ def ole10_unwrap(spark, sf_dir):
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     made = docs.select(_doc_path().alias("path"), C.ole_native_build(name, F.concat(F.lit("c:/"), "lang"), F.encode("text", "UTF-8")).alias("data"))
     made = made.select("path", C.cfb_build(_one("/\x01Ole10Native", F.col("data"))).alias("content"))
-    return C.artifacts(C.extract_reports(made, Options(**UNLIMITED))).select("path", "artifact_path", "depth", "children", "ole_file_name", "size", "note")
+    return C.artifacts(C.extract_reports(made, Options(empty_objects=True, **UNLIMITED))).select("path", "artifact_path", "depth", "children", "ole_file_name", "size", "note")
 
 
 # Edits

@@ -4,6 +4,7 @@ import json
 import os
 import pickle
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 
@@ -30,6 +31,18 @@ def test_names_of_a_native_object_longer_than_the_head():
     assert (broken.ole_file_name, broken.note) == ("", "oleds:ole10native")
 
 
+def test_empty_text_in_a_native_object(spark, tmp_path):
+    """An empty text had no row of its own, and its object no child."""
+    texts = [(1, "", "en", "s", 0), (2, "a", "fr", "s", 1), (3, "é" * HEAD, "de", "t", HEAD)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(db.execute(registry.ORACLES["ole10_unwrap"]).fetchall(), key=str)
+    assert len(want) == 6 and rows(registry.QUERIES["ole10_unwrap"](spark, str(tmp_path))) == want
+    (alone,) = extract(build([("/\x01Ole10Native", native("a.txt", b""))]), Options()).artifacts
+    assert alone.children == 0
+
+
 def streams(spark, most: int = 9000):
     """Streams of two containers, one of them with 300 streams, some in the mini stream, some with one path twice, and of one that can't be built."""
     rows = [("a", f"/x/{k}", bytes([k % 251]) * (k * 37 % most)) for k in range(300)] + [("a", "/X/7", b"last"), ("a", "/y/z/1", None), ("b", "/1", b"b" * 5000), ("c", "no path", b"c"), (None, "/1", b"n")]
