@@ -55,15 +55,22 @@ def _place(spark: SparkSession, tag: str) -> str:
     return f"{_scratch[base][1]}/{tag}-{uuid.uuid4().hex[:8]}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The same rows, from a Parquet table in the shared folder.
+def written(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+    """The same rows, from a Parquet table in the shared folder. ``batch_rows``: rows in an Arrow batch meanwhile, for rows without texts, where ``small_batches`` has set it.
 
     It cuts the lineage: a lost executor costs the tasks it ran, not what came before, and both
     readers of an intermediate see the same rows.
     """
     small_batches(df.sparkSession)
-    path = _place(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf, key = _place(df.sparkSession, tag), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    larger = batch_rows and conf.get(key) == "1000"
+    try:
+        if larger:
+            conf.set(key, str(batch_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if larger:
+            conf.set(key, "1000")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kistwerk_path = path
     return out

@@ -31,19 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, mix, pieces, text_slice, written, written_by
 from .textops import powers, word_bounds, word_edges
 
 SPAN, GAP, FINE, HEAD, LOCAL, STEP = 400, 48, 4, 64, 16, 16
+#: Rows in an Arrow batch of the rounds, which hold numbers and no texts.
+NUMBER_ROWS = 20_000
 #: Strings that start less than so many bytes before their anchor hold the 2 HEAD, or 4 HEAD, bytes from it; both are multiples of STEP.
 MIDDLE, DEEP = SPAN - 2 * HEAD, SPAN - 4 * HEAD
 _rng = np.random.default_rng(9)
 _BYTES = _rng.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = [int(x) * 2 + 1 for x in _rng.integers(2**62, size=2)]
 _SALT = np.uint64(0x9E3779B97F4A7C15)
+_NEAR, _FINE = np.uint64((1 << 64) // GAP), np.uint64((1 << 64) // FINE)
 _PAIR = np.uint64(_rng.integers(2**62) * 2 + 1)
 
 
@@ -59,11 +62,16 @@ class Names:
         self.data, self.sums = data, [None, None]
 
     def _of(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = powers(len(self.data) + 1, _BASES[k])
+        sums, down = self._sums(k), powers(len(self.data) + 1, _BASES[k])[1]
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _SALT)
+
+    def _sums(self, k: int) -> np.ndarray:
         if self.sums[k] is None:
+            each = _BYTES[k][self.data]
+            each *= powers(len(self.data) + 1, _BASES[k])[0][:-1]
             self.sums[k] = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTES[k][self.data] * up[:-1], out=self.sums[k][1:])
-        return mix((self.sums[k][end] - self.sums[k][start]) * down[start] + (end - start).astype(np.uint64) * _SALT)
+            np.cumsum(each, out=self.sums[k][1:])
+        return self.sums[k]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self._of(0, start, end)
@@ -72,6 +80,14 @@ class Names:
         """The other part of a name, 32 bits."""
         return (self._of(1, start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
+    def local(self) -> np.ndarray:
+        """Hashes, good in their upper bits, of the LOCAL bytes from each position that has so many."""
+        n = len(self.data) - LOCAL + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        sums = self._sums(0)
+        return (sums[LOCAL:] - sums[:n]) * powers(len(self.data) + 1, _BASES[0])[1][:n]
+
     def rank(self, at: np.ndarray, h: int) -> np.ndarray:
         """The rank of the h bytes at each position, h being HEAD or a double of it."""
         if h == HEAD:
@@ -82,8 +98,10 @@ class Names:
 def word_strings(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the strings of so many whole words of one text that are shorter than SPAN bytes."""
     start, end = word_bounds(data, off)
+    at = np.searchsorted(start, off)  # the first word of each text
+    last = np.repeat(at[1:], np.diff(at))  # past the last word of its text
     start, end = start[: max(0, len(start) - words + 1)], end[words - 1 :]
-    ok = (end - start < SPAN) & (np.searchsorted(off, start, "right") == np.searchsorted(off, end, "left"))
+    ok = (end - start < SPAN) & (np.arange(words, words + len(start)) <= last[: len(start)])
     return start[ok], end[ok]
 
 
@@ -99,7 +117,7 @@ def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tu
     """
     n, near = len(data), SPAN - HEAD
     names = Names(data)
-    local = names.of(np.arange(n - LOCAL + 1), np.arange(LOCAL, n + 1)) if n >= LOCAL else np.zeros(0, np.uint64)
+    local = names.local()
     begin, end = off[:-1], off[1:]
 
     def inside(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +126,7 @@ def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tu
         ok = anchor + LOCAL <= end[text] if len(anchor) else np.zeros(0, bool)
         return anchor[ok], text[ok]
 
-    anchor, text = inside(np.flatnonzero(local % np.uint64(GAP) == 0))
+    anchor, text = inside(np.flatnonzero(local < _NEAR))
     first = np.ones(len(text), bool)
     first[1:] = text[1:] != text[:-1]
     before = np.where(first, begin[text], np.concatenate([[0], anchor[:-1] + 1])[: len(anchor)])
@@ -122,8 +140,7 @@ def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tu
         k = np.searchsorted(anchor, start)
         seen = k < len(anchor)
         seen[seen] = anchor[k[seen]] + HEAD <= stop[seen]
-        owner = np.searchsorted(off, start, "right") - 1
-        free = [owner[~seen], start[~seen], stop[~seen]]
+        free = [np.searchsorted(off, start[~seen], "right") - 1, start[~seen], stop[~seen]]
         k, start, stop = k[seen], start[seen], stop[seen]
         # starts and ends rise together, so the first and the last of an anchor's strings are enough
         top = np.flatnonzero(np.diff(k, prepend=-1)), np.flatnonzero(np.diff(k, append=len(anchor)))
@@ -143,7 +160,7 @@ def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tu
     tail[text[final]] = anchor[final] + 1
     bare = [np.concatenate(x) for x in zip((text, before, np.minimum(lo - 1, last)), (np.arange(len(begin)), tail, end - SPAN), strict=True)]
     bare = [x[bare[1] <= bare[2]] for x in bare]
-    fine, _ = inside(np.flatnonzero(local % np.uint64(FINE) == 1)) if len(bare[0]) else (np.zeros(0, np.int64), None)
+    fine, _ = inside(np.flatnonzero((local >= _NEAR) & (local < _NEAR + _FINE))) if len(bare[0]) else (np.zeros(0, np.int64), None)
     left = []
     for t, a, b in zip(*(x.tolist() for x in bare), strict=True):
         y = fine[np.searchsorted(fine, a) : np.searchsorted(fine, min(b + near, end[t] - LOCAL), "right")]
@@ -178,8 +195,27 @@ def positions(data: np.ndarray, off: np.ndarray, words: int | None = None) -> tu
     return who, one, two, three, lo, hi, at, over, kind, np.concatenate([more, none]), np.concatenate([less, none])
 
 
-_CELLS = ["lo", "hi", "at", "over", "kind", "more", "less"]
-ROW = f"rid long, one long, two long, three int, {', '.join(f'{c} int' for c in _CELLS)}, shown boolean"
+#: Where a row's cells lie in its two long columns, so that what is sorted and sent has few of them: column, lowest bit, number of bits. at is kept plus 1.
+#: over is less than 2 SPAN, more and less are less than SPAN.
+_PLACES = {"lo": ("a", 32, 31), "at": ("a", 0, 32), "hi": ("b", 32, 31), "over": ("b", 21, 10), "more": ("b", 12, 9), "less": ("b", 3, 9), "kind": ("b", 1, 2), "shown": ("b", 0, 1)}
+ROW = "rid long, one long, two long, three int, a long, b long"
+
+
+def _packed(lo, hi, at, over, kind, more, less, shown) -> list[np.ndarray]:
+    cells = {"lo": lo, "hi": hi, "at": np.asarray(at) + 1, "over": over, "kind": kind, "more": more, "less": less, "shown": shown}
+    out = {"a": np.zeros(len(lo), np.int64), "b": np.zeros(len(lo), np.int64)}
+    for c, (column, low, bits) in _PLACES.items():
+        cell = np.asarray(cells[c]).astype(np.int64)
+        if len(cell) and not 0 <= cell.min() <= cell.max() < 1 << bits:
+            raise ValueError(f"{c} is out of range")
+        out[column] |= cell << low
+    return [out["a"], out["b"]]
+
+
+def _cell(c: str) -> Column:
+    column, low, bits = _PLACES[c]
+    x = F.shiftright(column, low).bitwiseAND(F.lit((1 << bits) - 1))
+    return (x - 1 if c == "at" else x).cast("int").alias(c)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -187,8 +223,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _rows(rid, one, two, three, *cells) -> pa.RecordBatch:
-    *cells, shown = cells
-    return pa.RecordBatch.from_arrays([pa.array(rid), _signed(one), _signed(two), pa.array(three), *(pa.array(x, pa.int32()) for x in cells), pa.array(shown)], ["rid", "one", "two", "three", *_CELLS, "shown"])
+    return pa.RecordBatch.from_arrays([pa.array(rid), _signed(one), _signed(two), pa.array(three), *(pa.array(x) for x in _packed(*cells))], ["rid", "one", "two", "three", "a", "b"])
 
 
 def _positions(words: int | None):
@@ -203,14 +238,26 @@ def _positions(words: int | None):
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(rid, names, lo, hi, at, what) of each text with what is asked of it: strings of SPAN bytes start from lo to hi."""
+    """Some texts at a time, laid end to end: (data, off, text, rid, lo, hi, at, what) with a row for each range of starts that is asked of them; text and rid
+    are the row's, and lo, hi and at (-1: none) are counted from where the first of these texts begins."""
     for batch in batches:
-        for rid, text, spans in zip(*batch.columns, strict=True):
-            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-            lo, hi, at, what = (spans.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi", "at", "what"))
-            hi = np.minimum(hi, len(data) - SPAN)  # strings of whole words start later too
-            ok = lo <= hi
-            yield rid.as_py(), Names(data), lo[ok], hi[ok], at[ok], what[ok]
+        rids, lists = batch.column(0).to_numpy(), batch.column(2)
+        ends, cells = lists.offsets.to_numpy(), [lists.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi", "at", "what")]
+        for i, j in pieces(batch, 1):
+            data, off = text_slice(batch.column(1), i, j)
+            text = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+            lo, hi, at, what = (c[ends[i] : ends[j]] for c in cells)
+            base = off[text]
+            yield data, off, text, rids[i:j][text], lo + base, hi + base, np.where(at < 0, -1, at + base), what
+
+
+def _asked_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(names, begin, rid, lo, hi, at, what) of what is asked: strings of SPAN bytes start from lo to hi; begin is where the row's text does."""
+    for data, off, text, rid, lo, hi, at, what in _asked(batches):
+        hi = np.minimum(hi, off[text + 1] - SPAN)  # strings of whole words start later too
+        ok = lo <= hi
+        if ok.any():
+            yield Names(data), off[text[ok]], *(c[ok] for c in (rid, lo, hi, at, what))
 
 
 PAIRS = "rid long, lo int, hi int, at int, what int, rounds int, rank long, next long, later long"
@@ -218,7 +265,7 @@ PAIRS = "rid long, lo int, hi int, at int, what int, rounds int, rank long, next
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is asked, by the distance of starts to their anchor in up to three rows, with the ranks that ``rounds`` rounds of doubling need."""
-    for rid, names, lo, hi, at, what in _asked(batches):
+    for names, begin, rid, lo, hi, at, what in _asked_spans(batches):
         parts = [(lo, np.where(at < 0, hi, np.minimum(hi, at - MIDDLE)), 0), (np.maximum(lo, at - MIDDLE + 1), np.minimum(hi, at - DEEP), 1), (np.maximum(lo, at - DEEP + 1), hi, 2)]
         for low, high, rounds in parts:
             ok = (low <= high) & ((at >= 0) | (rounds == 0))
@@ -230,8 +277,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rank, next_ = names.rank(x, HEAD) + np.uint64(rounds), names.rank(x + HEAD, HEAD)
             if rounds > 1:
                 later = names.rank(x + 2 * HEAD, 2 * HEAD)
-            ints = (low[ok], high[ok], x, what[ok], np.full(n, rounds))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), *(pa.array(c, pa.int32()) for c in ints), _signed(rank), _signed(next_), _signed(later)], [c.split()[0] for c in PAIRS.split(", ")])
+            base = begin[ok]
+            ints = (low[ok] - base, high[ok] - base, np.where(x < 0, -1, x - base), what[ok], np.full(n, rounds))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[ok]), *(pa.array(c, pa.int32()) for c in ints), _signed(rank), _signed(next_), _signed(later)], [c.split()[0] for c in PAIRS.split(", ")])
 
 
 def _reranked(second: str):
@@ -261,7 +309,7 @@ def _reranked(second: str):
 
 def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of STEP starts each, counted off from the anchor, with the rank of the SPAN - STEP + 1 bytes that all their strings hold."""
-    for rid, names, lo, hi, at, what in _asked(batches):
+    for names, begin, rid, lo, hi, at, what in _asked_spans(batches):
         free = at < 0
         count = np.where(free, 1, (at - lo) // STEP - (at - hi) // STEP + 1)
         row = np.repeat(np.arange(len(lo)), count)
@@ -273,8 +321,8 @@ def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.flatnonzero(~free[row])
         one[seen] = paired(names.rank(top[seen], 4 * HEAD), names.rank(top[seen] + SPAN - STEP + 1 - 4 * HEAD, 4 * HEAD))
         two[seen], three[seen] = names.of(low[seen], high[seen] + SPAN), names.twin(low[seen], high[seen] + SPAN)
-        zero = np.zeros(len(row), np.int64)
-        yield _rows(np.full(len(row), rid, np.int64), one, two, three, low, high, at[row], zero + SPAN, zero + BYTES, zero, zero, what[row] == SHOW)
+        zero, base = np.zeros(len(row), np.int64), begin[row]
+        yield _rows(rid[row], one, two, three, low - base, high - base, np.where(free[row], -1, at[row] - base), zero + SPAN, zero + BYTES, zero, zero, what[row] == SHOW)
 
 
 DONE, ASK, SHOW = 0, 1, 2
@@ -304,7 +352,7 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge_one |= run_one == 0
         if closed:
             edge_one |= run_one == run_one[-1]
-        shown = t.column("shown").to_numpy(zero_copy_only=False)
+        shown = (t.column("b").to_numpy() & 1).astype(bool)
         what = np.full(n, -1)
         what[(size_two > 1) & ~bare & ~shown] = DONE
         lone = (size_two == 1) & ((size_one > 1) | edge_one)
@@ -314,10 +362,10 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a row that stands for others and repeats is done itself, if it is not one of those shown from an earlier round
         keep = what >= 0
         done = (what == SHOW) & (size_two > 1) & ~bare & ~shown
-        cells = [t.column(c).to_numpy() for c in ("rid", *_CELLS)]
+        cells = [t.column(c).to_numpy() for c in ("rid", "a", "b")]
         cells = [np.concatenate([c[keep], c[done]]) for c in cells]
         kinds = np.concatenate([what[keep], np.full(int(done.sum()), DONE)])
-        return pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in (*cells[1:], kinds))], ["rid", *_CELLS, "what"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cells), pa.array(kinds, pa.int32())], ["rid", "a", "b", "what"])
 
     for b in batches:
         t = pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])])
@@ -340,23 +388,27 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STRINGS = "name long, twin int, rid long, start int, size int, whole boolean, show boolean, known boolean"
 
 
-def _named(name, twin, rid, start, size, whole, show) -> pa.RecordBatch:
-    """Strings of one text. What comes twice among them is settled here: one row stands for it, and rows without a name (known) say what its places cover.
+def _named(name, twin, rid, begin, start, size, whole, show) -> pa.RecordBatch:
+    """Strings of some texts. What comes twice in one text is settled here: one row stands for it, and rows without a name (known) say what its places cover.
 
     So a text that repeats a few bytes over and over gives as many rows as it has different strings.
     """
-    order = np.lexsort((start, twin, name))
-    name, twin, start, size, show = (x[order] for x in (name, twin, start, size, show))
+    order = np.lexsort((start, twin, name, begin))
+    name, twin, rid, begin, start, size, show = (x[order] for x in (name, twin, rid, begin, start, size, show))
     new = np.ones(len(start), bool)
-    new[1:] = (name[1:] != name[:-1]) | (twin[1:] != twin[:-1])
+    new[1:] = (name[1:] != name[:-1]) | (twin[1:] != twin[:-1]) | (begin[1:] != begin[:-1])
     run = np.cumsum(new) - 1
     many = (np.bincount(run) > 1)[run] if len(run) else new
-    lo, end = merged(start[many & ~show], (start + size)[many & ~show])
+    twice = np.flatnonzero(many & ~show)
+    # a byte between texts, so that what covers a text's end and the next one's begin stays apart
+    text = np.cumsum(np.concatenate([[0], begin[1:] != begin[:-1]])[: len(begin)])
+    lo, end = merged((start + text)[twice], (start + size + text)[twice])
+    owner = np.searchsorted(begin + text, lo, "right") - 1
     kept, n = new, len(lo)
     zero = np.zeros(n, np.int64)
     cells = [
-        _signed(np.concatenate([name[kept], zero.astype(np.uint64)])), pa.array(np.concatenate([twin[kept], zero.astype(np.int32)])), np.full(int(kept.sum()) + n, rid),
-        pa.array(np.concatenate([start[kept], lo]), pa.int32()), pa.array(np.concatenate([size[kept], end - lo]), pa.int32()), np.full(int(kept.sum()) + n, whole),
+        _signed(np.concatenate([name[kept], zero.astype(np.uint64)])), pa.array(np.concatenate([twin[kept], zero.astype(np.int32)])), np.concatenate([rid[kept], rid[owner]]),
+        pa.array(np.concatenate([(start - begin)[kept], lo - (begin + text)[owner]]), pa.int32()), pa.array(np.concatenate([size[kept], end - lo]), pa.int32()), np.full(int(kept.sum()) + n, whole),
         np.concatenate([(show | many)[kept], zero > 0]), np.concatenate([np.zeros(int(kept.sum()), bool), zero == 0]),
     ]
     return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cells], [c.split()[0] for c in STRINGS.split(", ")])
@@ -364,43 +416,40 @@ def _named(name, twin, rid, start, size, whole, show) -> pa.RecordBatch:
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Single strings of SPAN bytes, named by their two overlapping ranks of 4 HEAD bytes and the twin of the whole."""
-    for rid, names, lo, hi, _, what in _asked(batches):
-        if not len(lo):
-            continue
-        start = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-        show = np.repeat(what == SHOW, hi - lo + 1)
+    for names, begin, rid, lo, hi, _, what in _asked_spans(batches):
+        count = hi - lo + 1
+        row = np.repeat(np.arange(len(lo)), count)
+        start = np.arange(len(row)) - (np.cumsum(count) - count)[row] + lo[row]
         for k in range(0, len(start), 1 << 18):
-            s = start[k : k + (1 << 18)]
+            s, r = start[k : k + (1 << 18)], row[k : k + (1 << 18)]
             name = paired(names.rank(s, 4 * HEAD), names.rank(s + SPAN - 4 * HEAD, 4 * HEAD))
-            yield _named(name, names.twin(s, s + SPAN), rid, s, np.full(len(s), SPAN), False, show[k : k + (1 << 18)])
+            yield _named(name, names.twin(s, s + SPAN), rid[r], begin[r], s, np.full(len(s), SPAN), False, what[r] == SHOW)
 
 
 def _word_strings(words: int):
     """As _strings for strings of whole words; their names are other than those of equal strings of SPAN bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rid, text, spans in zip(*batch.columns, strict=True):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                start, end = word_strings(data, np.array([0, len(data)]), words)
-                lo, hi, at, what = (spans.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi", "at", "what"))
-                first, last = np.searchsorted(start, lo), np.searchsorted(start, hi, "right")
-                row = np.repeat(np.arange(len(lo)), last - first)
-                k = np.arange(len(row)) - (np.cumsum(last - first) - (last - first))[row] + first[row]
-                mine = (at[row] < 0) | (end[k] >= at[row] + HEAD)  # others have no anchor, and a row of their own
-                k, row = k[mine], row[mine]
-                names = Names(data)
-                yield _named(mix(names.of(start[k], end[k]) + _SALT), names.twin(start[k], end[k]), rid.as_py(), start[k], end[k] - start[k], True, what[row] == SHOW)
+        for data, off, text, rid, lo, hi, at, what in _asked(batches):
+            start, end = word_strings(data, off, words)
+            first, last = np.searchsorted(start, lo), np.searchsorted(start, np.minimum(hi, off[text + 1] - 1), "right")
+            count = np.maximum(last - first, 0)
+            row = np.repeat(np.arange(len(lo)), count)
+            k = np.arange(len(row)) - (np.cumsum(count) - count)[row] + first[row]
+            mine = (at[row] < 0) | (end[k] >= at[row] + HEAD)  # others have no anchor, and a row of their own
+            k, row = k[mine], row[mine]
+            names = Names(data)
+            yield _named(mix(names.of(start[k], end[k]) + _SALT), names.twin(start[k], end[k]), rid[row], off[text[row]], start[k], end[k] - start[k], True, what[row] == SHOW)
 
     return run
 
 
-LEFT = f"rid long, {', '.join(f'{c} int' for c in _CELLS)}, what int"
+LEFT = "rid long, a long, b long, what int"
 
 
 def repeated_starts(texts: DataFrame, words: int | None = None) -> DataFrame:
-    """(rid, lo, end, whole): in the text of that rid, strings that also stand elsewhere cover the bytes from lo to end: strings of SPAN bytes
-    where ``whole`` is false; where it is true, strings of SPAN bytes and of ``words`` whole words together.
+    """(rid, lo, end, more, less): in the text of that rid, strings that also stand elsewhere, of SPAN bytes or of ``words`` whole words, cover the bytes from lo
+    to end, and those of SPAN bytes alone cover them from lo + more to end - less; where more is -1 they cover none.
 
     ``texts(rid, text)`` should be written in buckets by rid, which tells all rows apart.
     """
@@ -410,10 +459,11 @@ def repeated_starts(texts: DataFrame, words: int | None = None) -> DataFrame:
         return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def ranked(rows: DataFrame) -> DataFrame:
-        return written(ranged(rows, ["one", "two", "three", "rid", "lo"]).mapInArrow(_rank, LEFT), "ranked")
+        left = written(ranged(rows, ["one", "two", "three", "rid", "a"]).mapInArrow(_rank, LEFT), "ranked", NUMBER_ROWS)
+        return left.select("rid", *(_cell(c) for c in _PLACES if c != "shown"), "what")
 
     def doubled(rows: DataFrame, second: str) -> DataFrame:
-        return written(ranged(rows, ["rank", second, "rid"]).mapInArrow(_reranked(second), PAIRS), "reranked")
+        return written(ranged(rows, ["rank", second, "rid"]).mapInArrow(_reranked(second), PAIRS), "reranked", NUMBER_ROWS)
 
     def asked(left: DataFrame) -> DataFrame:
         """The texts that go on, with what is asked of them: at most a text's length."""
@@ -439,11 +489,12 @@ def repeated_starts(texts: DataFrame, words: int | None = None) -> DataFrame:
     # written, so that the join below reads two exchanges and adaptive execution can split a name that very many strings have
     repeated = written(named.where(~F.col("known")).groupBy("name", "twin").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
     met = named.where(~F.col("show") & ~F.col("known")).join(repeated, ["name", "twin"])
-    single = met.unionByName(named.where("known")).select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"), "whole")
-    done = first.unionByName(second).where(F.col("what") == DONE)
-    of_bytes = done.where(F.col("kind") != WHOLE).select("rid", (F.col("lo") + F.col("more")).alias("lo"), (F.col("hi") - F.col("less") + SPAN).alias("end"), F.lit(False).alias("whole"))
-    out = of_bytes.unionByName(single)
-    return out.unionByName(done.where(F.col("kind") != BYTES).select("rid", "lo", (F.col("hi") + F.col("over")).alias("end"), F.lit(True).alias("whole"))) if words else out
+    single = met.unionByName(named.where("known")).select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("end"), F.when(F.col("whole"), -1).otherwise(0).alias("more"), F.lit(0).alias("less"))
+    end, in_words = F.col("hi") + F.col("over"), F.col("kind") == WHOLE
+    done = first.unionByName(second).where(F.col("what") == DONE).select(
+        "rid", "lo", end.alias("end"), F.when(in_words, -1).otherwise(F.col("more")).alias("more"), F.when(in_words, 0).otherwise(F.col("over") + F.col("less") - SPAN).alias("less"),
+    )
+    return done.unionByName(single)
 
 
 def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -457,14 +508,14 @@ def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple]]]:
-    """For each batch its ids, and of each row the bytes, and (lo, end, whole) of what covers them."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    """For each batch its ids, and of each row the bytes, and (lo, end, more, less) of what covers them."""
+    none = (np.zeros(0, np.int64),) * 4
     for batch in batches:
         rows = []
         for text, starts in zip(batch.column(1), batch.column(2), strict=True):
             cells = none
             if starts.is_valid:
-                cells = tuple(starts.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "end", "whole"))
+                cells = tuple(starts.values.field(k).to_numpy() for k in ("lo", "end", "more", "less"))
             rows.append(((text.as_py() or "").encode(), *cells))
         yield batch.column(0), rows
 
@@ -477,7 +528,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     for ids, rows in _found(batches):
         out: list[list] = [[], [], [], []]
-        for raw, lo, end, _ in rows:
+        for raw, lo, end, _, _ in rows:
             lo, end = merged(lo, end)
             cells = len(raw), int((end - lo).sum()), [{"start": a, "length": n} for a, n in zip(lo.tolist(), (end - lo).tolist(), strict=True)], _left(raw, lo, end)
             for col, v in zip(out, cells, strict=True):
@@ -495,7 +546,7 @@ def without_repeats(df: DataFrame, id_col: str, text_col: str, finish=_cut, sche
     """
     keyed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     keyed = written_by(keyed, "texts", max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rid")
-    starts = repeated_starts(keyed, words).groupBy("rid").agg(F.collect_list(F.struct("lo", "end", "whole")).alias("starts"))  # at most a text's length
+    starts = repeated_starts(keyed, words).groupBy("rid").agg(F.collect_list(F.struct("lo", "end", "more", "less")).alias("starts"))  # at most a text's length
     joined = keyed.join(starts, "rid", "left").select("id", "text", "starts")
     kind = df.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(finish, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
@@ -505,9 +556,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
     for ids, rows in _found(batches):
         out: list[list] = [[], [], [], [], []]
-        for raw, lo, end, whole in rows:
-            every = merged(lo, end)
-            lo, end = merged(lo[~whole], end[~whole])
+        for raw, lo, end, more, less in rows:
+            every, of_bytes = merged(lo, end), more >= 0
+            lo, end = merged((lo + more)[of_bytes], (end - less)[of_bytes])
             cells = len(raw), int((end - lo).sum()), len(lo), hashlib.sha256(_left(raw, lo, end)).hexdigest(), int((every[1] - every[0]).sum())
             for col, v in zip(out, cells, strict=True):
                 col.append(v)
