@@ -19,11 +19,14 @@ from pyspark.sql.window import Window
 from .common import mix, text_slice, written
 
 K, SAMPLES, PICKED = 12, 24, 2
+PIECE, SHARED = 8192, 1 << 20  # k-mers that are put in all orders at a time; code points of a text whose k-mers are kept for its edited text
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = [np.uint64(pow(int(_BASE), i, 2**64)) for i in range(7)]
 _LOW = np.uint64((1 << 30) - 1)
+_Y, _BELOW = np.empty(SAMPLES * PIECE, np.uint64), np.empty(SAMPLES * PIECE, bool)  # scratch of ``candidates``: fresh memory costs as much as the work
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
@@ -43,10 +46,11 @@ def kmers(points: np.ndarray) -> np.ndarray:
             for x in p:
                 h = h * _BASE + x
         return mix(np.array([h], np.uint64))
-    h = p[: n - K + 1].copy()
-    for i in range(1, K):
-        h *= _BASE
-        h += p[i : n - K + 1 + i]
+    # p[0] B^11 + p[1] B^10 + ... + p[11], modulo 2^64, from the sums of 2, 3, 6 and 12
+    two = p[:-1] * _BASE + p[1:]
+    three = two[:-1] * _BASE + p[2:]
+    six = three[:-3] * _POWERS[3] + three[3:]
+    h = six[:-6] * _POWERS[6] + six[6:]
     return mix(h)
 
 
@@ -55,53 +59,129 @@ def numbered(h: np.ndarray) -> np.ndarray:
     n = len(h)
     if n < 2:
         return mix(h)
-    if n > int(_LOW):
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-    else:
+    order = None
+    if n <= int(_LOW):
         # bits of the hash above, the place below: one sort of plain numbers, ties in text order
-        packed = np.sort((h & ~_LOW) | np.arange(n, dtype=np.uint64))
-        top = packed & ~_LOW
-        same = top[1:] == top[:-1]
-        if not same.any():
+        packed = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        again = np.flatnonzero((packed[1:] ^ packed[:-1]) <= _LOW) + 1
+        if not len(again):
             return mix(h)
-        order = (packed & _LOW).astype(np.int64)
-        s = h[order]
-        if not (s[1:][same] == s[:-1][same]).all():  # two k-mers with equal upper bits
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            same = s[1:] == s[:-1]
-    place = np.arange(n)
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), place, 0))
-    number = np.empty(n, np.uint64)
-    number[order] = (place - start).astype(np.uint64)
-    return mix(h + number * _BASE)
+        place, before = (packed[again] & _LOW).astype(np.int64), (packed[again - 1] & _LOW).astype(np.int64)
+        if (h[place] == h[before]).all():
+            order = place
+    if order is None:  # a very long text, or two k-mers with equal upper bits
+        by_hash = np.argsort(h, kind="stable")
+        s = h[by_hash]
+        again = np.flatnonzero(s[1:] == s[:-1]) + 1
+        order = by_hash[again]
+    # the second of its kind has number 1, the one behind it 2, and so on
+    i = np.arange(len(again))
+    run = np.maximum.accumulate(np.where(np.diff(again, prepend=-1) > 1, i, 0))
+    h = h.copy()
+    h[order] += (i - run + 1).astype(np.uint64) * _BASE
+    return mix(h)
+
+
+def limit(n: int) -> np.uint64 | None:
+    """A bound below which about 16 of n numbers lie in each order; none where n is small."""
+    return np.uint64(int(2**64 * 16 / n)) if n > 64 * PICKED else None
+
+
+def candidates(x: np.ndarray, few: np.uint64 | None, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sample, place, value) of the numbered k-mers from ``start`` on that lie below ``few`` in a sample's order, by sample, then place."""
+    found = []
+    for a in range(start, len(x), PIECE):
+        part = x[a : a + PIECE]
+        y = _Y[: SAMPLES * len(part)]
+        np.bitwise_xor(part, _ADD[:, None], out=y.reshape(SAMPLES, -1))
+        np.multiply(y.reshape(SAMPLES, -1), _MUL[:, None], out=y.reshape(SAMPLES, -1))
+        if few is None:
+            at = np.arange(len(y))
+        else:
+            below = np.less(y, few, out=_BELOW[: len(y)])
+            word = np.flatnonzero(below.view(np.uint64))  # eight at a time: few are below
+            hit = below.reshape(-1, 8)[word]
+            at = (word[:, None] * 8 + np.arange(8))[hit]
+        sample, place = np.divmod(at, len(part))
+        found.append((sample, place + a, y[at]))
+    if len(found) == 1:
+        return found[0]
+    sample, place, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    order = np.argsort(sample, kind="stable")
+    return sample[order], place[order], y[order]
+
+
+def _chosen(x: np.ndarray, j: int) -> np.ndarray:
+    """Places of the PICKED smallest in the order of sample j, in text order."""
+    return np.sort(np.argsort((x ^ _ADD[j]) * _MUL[j], kind="stable")[:PICKED])
+
+
+def picked(x: np.ndarray, sample: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """SAMPLES hashes of numbered k-mers, from the candidates that ``candidates`` gives; of no k-mers, zeros.
+
+    A sample with fewer than PICKED candidates, and all where two of the smallest are equal, are chosen among all k-mers.
+    """
+    if len(x) == 0:
+        return np.zeros(SAMPLES, np.uint64)
+    starts = np.searchsorted(sample, np.arange(SAMPLES + 1))
+    size = np.diff(starts)
+    best = np.empty((PICKED, SAMPLES), np.int64)
+    sure = len(x) >= PICKED and size.min() >= PICKED
+    if sure:
+        y = y.copy()
+        for i in range(PICKED):
+            at = np.flatnonzero(y == np.repeat(np.minimum.reduceat(y, starts[:-1]), size))
+            if len(at) != SAMPLES:
+                sure = False
+                break
+            best[i] = place[at]
+            y[at] = np.uint64(2**64 - 1)
+    if sure:
+        best.sort(axis=0)
+    else:
+        best = np.stack([_chosen(x, j) for j in range(SAMPLES)], axis=1)
+    h = np.full(SAMPLES, len(best), np.uint64)
+    for v in x[best]:
+        h = (h ^ v) * _BASE
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def sketch(points: np.ndarray) -> np.ndarray:
     """SAMPLES hashes of a text's code points; of an empty text, zeros."""
     x = numbered(kmers(points))
-    n = len(x)
-    if n == 0:
-        return np.zeros(SAMPLES, np.uint64)
-    out = np.empty(SAMPLES, np.uint64)
-    few = np.uint64(min(2**64 - 1, int(2**64 * min(1.0, 24 * PICKED / n)))) if n > 64 * PICKED else None
-    y = np.empty_like(x)
-    for j in range(SAMPLES):
-        np.bitwise_xor(x, _ADD[j], out=y)
-        np.multiply(y, _MUL[j], out=y)
-        at = np.flatnonzero(y < few) if few is not None else None
-        if at is None or len(at) < PICKED:
-            at = np.arange(n)
-        chosen = at[np.argsort(y[at], kind="stable")[:PICKED]]
-        h = np.uint64(len(chosen))
-        with np.errstate(over="ignore"):
-            for v in x[np.sort(chosen)]:
-                h = (h ^ v) * _BASE
-                h ^= h >> np.uint64(29)
-        out[j] = h
-    return out
+    return picked(x, *candidates(x, limit(len(x))))
+
+
+class Sketched:
+    """A text's code points and their sketch, with what the sketch of a text with the same beginning can share."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        h = kmers(points)
+        x = numbered(h)
+        few = limit(len(x))
+        found = candidates(x, few)
+        self.sketch = picked(x, *found)
+        self.shared = (h, few, found) if K <= len(points) <= SHARED else None
+
+    def changed(self, kept: int, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``kept`` code points with ``tail`` behind them, and their sketch.
+
+        K-mers that lie within the kept ones have the same hashes, occurrence numbers and places, so only those behind them are sketched anew.
+        """
+        points = np.concatenate([self.points[:kept], tail])
+        same = kept - K + 1
+        if self.shared is None or same <= 0:
+            return points, sketch(points)
+        h, few, (sample, place, y) = self.shared
+        x = numbered(np.concatenate([h[:same], kmers(points[same:])]) if len(points) > kept else h[:same])
+        before = place < same
+        new = candidates(x, few, same)
+        sample, place, y = (np.concatenate([old[before], more]) for old, more in zip((sample, place, y), new, strict=True))
+        order = np.argsort(sample, kind="stable")
+        return points, picked(x, sample[order], place[order], y[order])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -130,15 +210,14 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _row(key, points: np.ndarray, mine: np.ndarray, following: np.ndarray, theirs: np.ndarray) -> tuple:
+def _row(key, mine: Sketched, following: Sketched) -> tuple:
     import hashlib
 
-    n = len(points)
+    n = len(mine.points)
     k = n // 4
-    edited = np.concatenate([points[: n - k], following[:k]])
-    changed = sketch(edited)
+    edited, changed = mine.changed(n - k, following.points[:k])
     text = edited.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-    return key, n, hashlib.sha256(text).hexdigest(), text_of(mine), text_of(changed), likeness(mine, changed), likeness(mine, theirs)
+    return key, n, hashlib.sha256(text).hexdigest(), text_of(mine.sketch), text_of(changed), likeness(mine.sketch, changed), likeness(mine.sketch, following.sketch)
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
@@ -169,16 +248,16 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
             data, off = text_slice(batch.column(1), 0, batch.num_rows)
             for i, key in enumerate(batch.column(0).to_pylist()):
                 points = code_points(data[off[i] : off[i + 1]])
-                here = (key, points, sketch(points))
+                here = (key, Sketched(points))
                 if before is None:
                     rows.append(end(key, points, 1))
                 else:
-                    rows.append((*_row(*before, points, here[2]), 0, part, None))
+                    rows.append((*_row(*before, here[1]), 0, part, None))
                 before = here
             if rows:
                 yield batch_of(rows)
         if before is not None:
-            yield batch_of([end(before[0], before[1], 2)])
+            yield batch_of([end(before[0], before[1].points, 2)])
 
     walked = written(ranged.select("doc_id", "text").mapInArrow(walk, columns), "neighbours")
     firsts = walked.where("kind = 1").select("part", F.col("text").alias("next_text"))
@@ -193,7 +272,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
             rows = []
             for key, text, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = code_points(np.frombuffer(text.encode(), np.uint8)), code_points(np.frombuffer(following.encode(), np.uint8))
-                rows.append(_row(key, a, sketch(a), b, sketch(b)))
+                rows.append(_row(key, Sketched(a), Sketched(b)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
