@@ -30,7 +30,7 @@ from .blocks import answered, bucket_count, code_blocks, expand, reassembled, sq
 from .common import written
 
 STATES, CLASSES, ROUNDS = 8, 1 << 16, 5
-LONG, TOGETHER = 4096, 1_000_000  # tokens of a span of a long text, and of the spans that are handled at a time
+LONG, TOGETHER = 4096, 250_000  # tokens of a span of a long text, and of the spans that are handled at a time
 END, UNKNOWN = CLASSES, CLASSES + 1
 RANGES = 64  # class ranges in which expected counts are added up
 KEPT = 0.05  # weight of the base model in a state's emissions
@@ -93,22 +93,18 @@ class Model:
 
 
 class SideBySide:
-    """Spans of tokens side by side, the longest first: the first tokens of all, then the second ones, and so on.
+    """Spans of tokens side by side, the longest first, as ``sizes`` has them: the first tokens of all, then the second ones, and so on.
 
     ``at`` is each token's place in that order; step t holds the places base[t] to base[t] + live[t], one for each of the live[t]
-    longest spans, which ``order`` numbers.
+    longest spans. ``before`` has, for each place behind the first step, that of the token before.
     """
 
     def __init__(self, sizes: np.ndarray):
-        self.order = np.argsort(-sizes, kind="stable")
-        length = sizes[self.order]
-        self.live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        self.live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
         self.base = np.cumsum(self.live) - self.live
-        rank = np.empty(len(sizes), np.int64)
-        rank[self.order] = np.arange(len(sizes))
-        self.step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.at = self.base[self.step] + np.repeat(rank, sizes)
-        self.last = self.base[length - 1] + np.arange(len(sizes))
+        self.at = np.concatenate([self.base[:n] + i for i, n in enumerate(sizes.tolist())])
+        self.last = self.base[sizes - 1] + np.arange(len(sizes))
+        self.before = np.arange(len(sizes), len(self.at)) - np.repeat(self.live[:-1], self.live[1:])
 
 
 def _products(emit: np.ndarray, step: np.ndarray, classes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -128,12 +124,14 @@ def _products(emit: np.ndarray, step: np.ndarray, classes: np.ndarray, begin: np
 def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, long: int = LONG, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of whole texts, their classes behind one another; ``first`` marks where a text begins.
 
-    Texts are handled side by side, about ``together`` tokens at a time. One of more than ``long`` tokens is cut into spans; the products of their
+    Texts are handled side by side, those of like length, about ``together`` tokens at a time. One of more than ``long`` tokens is cut into spans; the products of their
     matrices give each span the forward state that it begins with and the backward state that it ends with, so that
     the counts are those of the whole text.
     """
     states = len(model.start)
-    emit = np.ascontiguousarray(np.maximum(model.emit.T, 1e-30).astype(np.float32))
+    # a class's emissions are taken relative to its largest: a factor of a token leaves the counts as they are
+    top = model.emit.max(0)
+    emit = np.ascontiguousarray(np.maximum(np.divide(model.emit, top, out=np.ones_like(model.emit), where=top > 0).T, 1e-30).astype(np.float32))
     step, start = model.step.astype(np.float32), model.start.astype(np.float32)
     heads = np.flatnonzero(first)
     lengths = np.diff(np.append(heads, len(classes)))
@@ -154,40 +152,46 @@ def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, long:
             if k[j] + 1 < count[text[j]]:
                 x = step @ (products[i + 1] @ ends[j + 1])
                 ends[j] = x / x.sum()
-    starts, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, CLASSES + 2))
+    ones, back = np.ones((states, states), np.float32), np.ascontiguousarray(step.T)
+    starts, pairs, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, CLASSES + 2))
     out, into = np.zeros((len(text), states), np.float32), np.zeros((len(text), states), np.float32)  # at the spans' ends and heads
-    group = np.cumsum(sizes) // together
+    order = np.argsort(-sizes, kind="stable")
+    group = np.cumsum(sizes[order]) // together
     for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(text))), strict=True):
-        lay = SideBySide(sizes[a:b])
+        span = order[a:b]
+        lay = SideBySide(sizes[span])
         mine = np.empty(len(lay.at), np.int64)
-        mine[lay.at] = classes[begin[a] : begin[b - 1] + sizes[b - 1]]
-        e = emit[mine]
-        alpha, scale = np.empty_like(e), np.empty((len(e), 1), np.float32)
-        x = None
+        mine[lay.at] = np.concatenate([classes[i : i + n] for i, n in zip(begin[span].tolist(), sizes[span].tolist(), strict=True)])
+        e = np.take(emit, mine, axis=0)
+        alpha, gamma = np.empty_like(e), np.empty_like(e)
+        ahead, total = prior[span], np.empty((b - a, states), np.float32)
+        before = 0
         for t, (at, m) in enumerate(zip(lay.base.tolist(), lay.live.tolist(), strict=True)):
-            x = (x[:m] @ step if t else prior[a:b][lay.order]) * e[at : at + m]
-            z = x.sum(1, keepdims=True)
-            x /= z
-            alpha[at : at + m], scale[at : at + m] = x, z
-        beta = ends[a:b][lay.order]
-        beta /= (alpha[lay.last] * beta).sum(1, keepdims=True)
-        out[a:b][lay.order] = alpha[lay.last]
-        e /= scale
-        gamma, back = alpha.copy(), np.ascontiguousarray(step.T)
+            p, x, y = ahead[:m], alpha[at : at + m], e[at : at + m]
+            if t:
+                np.matmul(alpha[before : before + m], step, out=p)
+            np.multiply(p, y, out=x)
+            if t % 2 == 0:  # scaling every second token keeps within single precision
+                z = np.matmul(x, ones, out=total[:m])  # the sum of a row, in each of its cells
+                x /= z
+                y /= z
+            before = at
+        beta, final = ends[span], alpha[lay.last]
+        beta /= (final * beta).sum(1, keepdims=True)
+        out[span] = final / final.sum(1, keepdims=True)
         for at, m in zip(lay.base[::-1].tolist(), lay.live[::-1].tolist(), strict=True):
-            x = beta[:m]
-            gamma[at : at + m] *= x
-            e[at : at + m] *= x  # from here on what lies ahead of the step before
-            beta[:m] = e[at : at + m] @ back
-        head = slice(0, b - a)
-        into[a:b][lay.order] = e[head]
-        starts += gamma[head][k[a:b][lay.order] == 0].sum(0, dtype=np.float64)
-        for t in range(0, len(lay.at), 1 << 20):
-            place, n = lay.at[t : t + (1 << 20)], lay.step[t : t + (1 << 20)]
-            place, n = place[n > 0], n[n > 0]
-            steps += model.step * (alpha[place - lay.base[n] + lay.base[n - 1]].T @ e[place])
+            x, y = beta[:m], e[at : at + m]
+            np.multiply(alpha[at : at + m], x, out=gamma[at : at + m])
+            y *= x  # from here on what lies ahead of the step before
+            np.matmul(y, back, out=x)
+        into[span] = e[: b - a]
+        starts += gamma[: b - a][k[span] == 0].sum(0, dtype=np.float64)
+        for t in range(0, len(lay.before), 1 << 12):
+            place = lay.before[t : t + (1 << 12)]
+            pairs += np.take(alpha, place, axis=0).T @ e[b - a + t : b - a + t + len(place)]
         for s in range(states):
             emits[s] += np.bincount(mine, gamma[:, s], CLASSES + 2)
+    steps = model.step * pairs
     within = np.flatnonzero(k)
     # a span's head was scaled with the state it began with, so the pair's counts sum to one like all others
     steps += model.step * (out[within - 1].T @ into[within])
@@ -199,16 +203,16 @@ def log10_likelihood(model: Model, classes: np.ndarray, sizes: np.ndarray) -> np
     order = np.argsort(-sizes, kind="stable")
     begin = (np.cumsum(sizes) - sizes)[order]
     length = sizes[order]
-    emit = np.ascontiguousarray(model.emit.T)
+    emit, ones = np.ascontiguousarray(model.emit.T), np.ones_like(model.step)
     out = np.zeros(len(sizes))
     live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
     a = None
     for t, m in enumerate(live.tolist()):
         prior = model.start if t == 0 else a[:m] @ model.step
-        a = prior * emit[classes[begin[:m] + t]]
-        z = a.sum(1)
-        a /= z[:, None]
-        out[:m] += np.log10(z)
+        a = prior * np.take(emit, classes[begin[:m] + t], axis=0)
+        z = a @ ones  # the sum of a row, in each of its cells
+        a /= z
+        out[:m] += np.log10(z[:, 0])
     result = np.empty(len(sizes))
     result[order] = out
     return result
@@ -346,7 +350,7 @@ def _expectation(sequences: DataFrame, model) -> tuple[np.ndarray, np.ndarray, n
         m: Model = model.value
         s = len(m.start)
         total = np.zeros(s + s * s + s * (CLASSES + 2))
-        for rows, classes in _gathered(batches, 1_000_000):
+        for rows, classes in _gathered(batches, 4_000_000):
             sizes = np.array([x for r in rows for x in r[2]], np.int64)
             learn = np.repeat(np.array([x for r in rows for x in r[1]], bool), sizes)
             first = np.zeros(len(classes), bool)
